@@ -1,0 +1,63 @@
+"""Random Fourier features for the RBF kernel (Rahimi and Recht, 2007)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Transformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def projection(inputs: int, outputs: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and phases of the map, from the seed alone."""
+    rng = np.random.default_rng(seed)
+    return (
+        rng.normal(0.0, np.sqrt(2.0 * gamma), (inputs, outputs)),
+        rng.uniform(0.0, 2.0 * np.pi, outputs),
+    )
+
+
+class RandomFourierFeatures(
+    Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
+):
+    """Map a vector so that dot products approximate ``exp(-gamma * |x - y|^2)``.
+
+    The product runs as one matrix multiplication per Arrow batch. Only the seed and sizes are
+    saved; the projection (input x output numbers) is redrawn on the driver and travels with the
+    function, so that workers need nothing but numpy and pandas.
+    """
+
+    inputSize = Param(Params._dummy(), "inputSize", "input length", TypeConverters.toInt)
+    outputSize = Param(Params._dummy(), "outputSize", "output length", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(
+        self, *, inputCol=None, outputCol=None, inputSize=None, outputSize=512, gamma=None, seed=42
+    ):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        inputs, outputs = self.getOrDefault(self.inputSize), self.getOrDefault(self.outputSize)
+        weights, phases = projection(
+            inputs, outputs, self.getOrDefault(self.gamma), self.getSeed()
+        )
+        height = np.sqrt(2.0 / outputs)
+
+        @F.pandas_udf("array<double>")
+        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                points = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, inputs))
+                yield pd.Series(list(height * np.cos(points @ weights + phases)))
+
+        mapped = project(vector_to_array(F.col(self.getInputCol())))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped))
