@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from linksift.operators import learners as L
 from linksift.operators import profile as P
 from linksift.operators import report as R
 from linksift.operators import split as S
+from linksift.operators.running import settled
 from linksift.operators.scale import fit_scaler, scaled_names
 from linksift.plans import inputs as I
 from linksift.plans import training
@@ -435,14 +437,19 @@ def _train_features(spark, sf):
 
 
 def _only(*names: str) -> L.Settings:
-    from dataclasses import replace
-
     return replace(QUICK, models=list(names))
 
 
+def _kept(run: training.Comparison, result: DataFrame) -> DataFrame:
+    """The small result on its own, so that the run's cached tables can be dropped."""
+    result = settled(result)
+    run.release()
+    return result
+
+
 def _model_metrics(spark, sf, *names):
     run = training.compare(_train_features(spark, sf), _only(*names))
-    return training.metrics_table(run)
+    return _kept(run, training.metrics_table(run))
 
 
 @query
@@ -467,18 +474,21 @@ def boosted_trees_metrics(spark, sf):
 
 @query
 def model_comparison(spark, sf):
-    return training.metrics_table(training.compare(_train_features(spark, sf), QUICK))
+    run = training.compare(_train_features(spark, sf), QUICK)
+    return _kept(run, training.metrics_table(run))
 
 
 @query
 def cross_validation(spark, sf):
     run = training.compare(_train_features(spark, sf), _only(L.LOGREG, L.FOREST))
-    return E.cv_summary(training.cross_validate(run.train, _only(L.LOGREG, L.FOREST)))
+    folds = training.cross_validate(run.train, _only(L.LOGREG, L.FOREST))
+    return _kept(run, E.cv_summary(folds))
 
 
 @query
 def forest_importance(spark, sf):
     run = training.compare(_train_features(spark, sf), _only(L.FOREST))
+    run.release()
     return R.ranked_importance(training.importance_table(spark, run))
 
 
@@ -487,7 +497,7 @@ def wide_table_comparison(spark, sf):
     run = training.compare(
         I.wide_table(spark, sf), _only(L.LOGREG, L.FOREST), label="CLASS_LABEL"
     )
-    return training.metrics_table(run, positive_class=1)
+    return _kept(run, training.metrics_table(run, positive_class=1))
 
 
 def _scorer(spark, sf):
@@ -516,5 +526,6 @@ def saved_model_retest(spark, sf):
     run = training.compare(df, _only(L.LOGREG, L.FOREST))
     path = scratch_path(spark, "results")
     best = training.save_results(spark, run, training.metrics_table(run), path)
+    run.release()
     model = training.load_model(f"{path}/model")
     return training.retest(model, best, df, class_names=("Legitimate", "Phishing"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from linksift.operators import evaluate as E
 from linksift.operators import learners as L
 from linksift.operators import report as R
+from linksift.operators.running import settled
 from linksift.operators.scale import fit_scaler, scaled_names
 from linksift.operators.split import sample_per_class, stratified_folds, stratified_split
 from linksift.session import shared_dir
@@ -127,9 +128,10 @@ def cross_validate(
     together = held_out[0]
     for part in held_out[1:]:
         together = together.unionByName(part)
-    return together.groupBy("model", "fold").agg(
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")
-    )
+    right = (F.col("prediction") == F.col("label")).cast("double")
+    accuracy = settled(together.groupBy("model", "fold").agg(F.avg(right).alias("accuracy")))
+    parted.unpersist()
+    return accuracy
 
 
 def importance_table(spark: SparkSession, comparison: Comparison) -> DataFrame:

@@ -21,7 +21,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) ->
         nullValue=NULL_TOKEN,
         emptyValue="",
         escape='"',
-        multiLine=False,
+        # Every column is checked, so that a row is bad whichever columns a query asks for.
+        columnPruning=False,
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
         **options,
@@ -29,9 +30,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) ->
 
 
 def split_bad_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that fit the schema, and the text of those that did not."""
-    good = df.filter(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
-    return good, df.filter(F.col(BAD_ROW).isNotNull()).select(BAD_ROW)
+    """Rows that fit the schema, and those that did not, with their text in ``_bad_row``.
+
+    The second table keeps all columns, since Spark does not allow a query on the text alone.
+    """
+    bad = F.col(BAD_ROW).isNotNull()
+    return df.filter(~bad).drop(BAD_ROW), df.filter(bad)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
