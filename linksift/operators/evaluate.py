@@ -69,31 +69,38 @@ def scores(cells: DataFrame, positive_class: int = 1, digits: int | None = 4) ->
     return cells.withColumns(columns)
 
 
-def _score_counts(
-    predictions: DataFrame, keys: list[str], positive_class: int
-) -> DataFrame:
-    """Positives and negatives per distinct score: the only scan and shuffle of all rows."""
+def score_counts(predictions: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """The confusion counts of each distinct score: the only scan and shuffle of all rows.
+
+    Every measure below is a reduction of this table. Rows are summed before the shuffle, so
+    a score that a third of all rows share costs no more than any other.
+    """
     score = F.col("score").cast("double")
     checked = F.when(
         score.isNull() | F.isnan(score) | F.col("label").isNull(),
         F.raise_error(F.lit("a prediction without score or label cannot be ranked")).cast("double"),
     ).otherwise(score)
     return settled(
-        predictions.select(*keys, checked.alias("score"), "label")
-        .groupBy(*keys, "score")
-        .agg(
-            F.count_if(F.col("label") == positive_class).alias("tp"),
-            F.count_if(F.col("label") != positive_class).alias("fp"),
+        confusion(
+            predictions.select(*keys, checked.alias("score"), "label", "prediction"),
+            (*keys, "score"),
         )
     )
 
 
+def _classes(counts: DataFrame, positive_class: int) -> DataFrame:
+    """Counts per score as positives ``tp`` and negatives ``fp`` at or above a threshold there."""
+    sides = {1: F.col("c10") + F.col("c11"), 0: F.col("c00") + F.col("c01")}
+    return counts.withColumns({"tp": sides[positive_class], "fp": sides[1 - positive_class]})
+
+
 def roc_curve(
     predictions: DataFrame,
     keys: tuple[str, ...] = ("model",),
     positive_class: int = 1,
     thin: bool = True,
     rows_per_range: int = ROWS_PER_RANGE,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """(rank, threshold, fpr, tpr) per model, from (0, 0) at an infinite threshold.
 
@@ -102,11 +109,12 @@ def roc_curve(
     highest down, 0 being the start point. A rate without any such class is null.
     """
     names = list(keys)
-    counts = _score_counts(predictions, names, positive_class)
+    counts = score_counts(predictions, keys) if counts is None else counts
     cuts = cut_points(counts, "score", rows_per_range)
-    counts = counts.withColumn("n", F.lit(1).cast("bigint"))
-    sums = ["tp", "fp", "n"]
-    points = running_totals(counts, names, "score", sums, cuts, ascending=False)
+    steps = _classes(counts, positive_class).select(
+        *names, "score", "tp", "fp", F.lit(1).cast("bigint").alias("n")
+    )
+    points = running_totals(steps, names, "score", ["tp", "fp", "n"], cuts, ascending=False)
     is_edge = (F.col("before_n") == 0) | F.col("_next").isNull()
     bends = (F.col("_next.tp") != F.col("tp")) | (F.col("_next.fp") != F.col("fp"))
     if thin:
@@ -134,6 +142,7 @@ def auc(
     positive_class: int = 1,
     digits: int | None = 4,
     rows_per_range: int = ROWS_PER_RANGE,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """A10: area under the full curve, by trapezoids, in exact whole-number arithmetic.
 
@@ -141,13 +150,14 @@ def auc(
     contribute is a rectangle, added from the range totals. No join and no global order.
     """
     names = list(keys)
-    counts = _score_counts(predictions, names, positive_class)
-    counts = with_range(counts, "score", cut_points(counts, "score", rows_per_range))
+    counts = score_counts(predictions, keys) if counts is None else counts
+    cuts = cut_points(counts, "score", rows_per_range)
+    steps = with_range(_classes(counts, positive_class), "score", cuts)
     ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     whole = lambda c: F.col(c).cast("decimal(19,0)")
 
     in_range = Window.partitionBy(*names, "_range").orderBy(F.col("score").desc())
-    local = counts.withColumn("above", F.coalesce(F.sum("tp").over(ahead(in_range)), F.lit(0)))
+    local = steps.withColumn("above", F.coalesce(F.sum("tp").over(ahead(in_range)), F.lit(0)))
     ranges = local.groupBy(*names, "_range").agg(
         F.sum(whole("fp") * (2 * F.col("above") + F.col("tp")).cast("decimal(19,0)")).alias("area"),
         F.sum("tp").alias("tp"),
@@ -155,21 +165,21 @@ def auc(
     )
     by_model = Window.partitionBy(*names).orderBy(F.col("_range").desc())
     placed = ranges.withColumn("above", F.coalesce(F.sum("tp").over(ahead(by_model)), F.lit(0)))
-    area = F.sum(
-        F.col("area") + 2 * whole("fp") * whole("above")
-    ).cast("double")
-    value = F.try_divide(
-        area, 2.0 * F.sum("tp").cast("double") * F.sum("fp").cast("double")
-    )
+    area = F.sum(F.col("area") + 2 * whole("fp") * whole("above")).cast("double")
+    value = F.try_divide(area, 2.0 * F.sum("tp").cast("double") * F.sum("fp").cast("double"))
     value = value if digits is None else F.round(value, digits)
     return placed.groupBy(*names).agg(value.alias("auc_roc"))
 
 
-def evaluate(predictions: DataFrame, positive_class: int = 1) -> DataFrame:
-    """A4-A8 and A10 per model, in the shape of the metrics table without its CV columns."""
-    cells = scores(confusion(predictions), positive_class)
+def evaluate(
+    predictions: DataFrame, positive_class: int = 1, counts: DataFrame | None = None
+) -> DataFrame:
+    """A4-A8 and A10 per model from one scan, as the metrics table without its CV columns."""
+    counts = score_counts(predictions) if counts is None else counts
+    cells = counts.groupBy("model").agg(*[F.sum(c).alias(c) for c in CELLS])
     matrix = F.array(F.array("c00", "c01"), F.array("c10", "c11")).alias("confusion_matrix")
-    return cells.join(auc(predictions, positive_class=positive_class), "model").select(
+    areas = auc(predictions, positive_class=positive_class, counts=counts)
+    return scores(cells, positive_class).join(areas, "model").select(
         "model", *SCORES, "auc_roc", matrix
     )
 

@@ -22,6 +22,10 @@ from linksift.session import shared_dir
 from linksift.sources import tables
 
 
+# Below this a task of an iterative fit spends its time on starting up.
+ROWS_PER_TASK = 10_000
+
+
 def feature_columns(df: DataFrame, label: str = "label", id_col: str = "id") -> list[str]:
     """Every column but the id and the label, in table order."""
     return [c for c in df.columns if c not in (label, id_col)]
@@ -34,6 +38,15 @@ def _run(spark: SparkSession, jobs: Iterable[Callable], parallel: int) -> list:
         return pool.map(lambda job: job(), jobs)
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """Merge tiny partitions before an iterative fit, whose every step starts one task per split.
+
+    Splits that hold ``ROWS_PER_TASK`` rows or more on average are left alone.
+    """
+    wanted = -(-max(rows, 1) // ROWS_PER_TASK)
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+
+
 def fit_preparation(train: DataFrame, features: list[str]) -> PipelineModel:
     """T2 + P2: scaling and assembling, in the fixed order of the feature names."""
     assembler = VectorAssembler(
@@ -67,12 +80,13 @@ class Comparison:
     train: DataFrame
     test: DataFrame
     predictions: DataFrame
+    cached: list[DataFrame]
 
     def scorer(self, name: str) -> PipelineModel:
         return whole_model(self.preparation, self.models[name])
 
     def release(self) -> None:
-        for df in (self.train, self.test, self.predictions):
+        for df in self.cached:
             df.unpersist()
 
 
@@ -90,15 +104,17 @@ def compare(
     table = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), *features)
     parted = stratified_split(table, seed=settings.seed)
     preparation = fit_preparation(parted.filter(~F.col("is_test")), features)
-    ready = preparation.transform(parted).select("id", "label", "is_test", "features")
-    train = ready.filter(~F.col("is_test")).drop("is_test").persist()
-    test = ready.filter("is_test").drop("is_test").persist()
+    # Cached once; train and test are filters of it, and the learners block their own input.
+    ready = preparation.transform(parted).select("id", "label", "is_test", "features").persist()
+    train = ready.filter(~F.col("is_test")).drop("is_test")
+    test = ready.filter("is_test").drop("is_test")
     n = train.count()
+    train = packed(train, n)
     fits = L.fitters(settings)
     fitted = _run(spark, [lambda fit=fit: fit(train, n) for fit in fits.values()], parallel)
     models = dict(zip(fits, fitted))
     predictions = predict_all(test, models, ["id", "label"]).persist()
-    return Comparison(features, preparation, models, train, test, predictions)
+    return Comparison(features, preparation, models, train, test, predictions, [ready, predictions])
 
 
 def cross_validate(
