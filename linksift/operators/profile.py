@@ -20,22 +20,46 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"))
 
 
+def _shown(stats: DataFrame, digits: int | None) -> DataFrame:
+    columns = ["mean", "std", "min", *QUARTILES, "max"]
+    rounded = [F.col(c) if digits is None else F.round(c, digits).alias(c) for c in columns]
+    return stats.select("feature", "count", *rounded)
+
+
 def describe(
     df: DataFrame,
     columns: list[str],
     digits: int | None = 2,
     rows_per_range: int = ROWS_PER_RANGE,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """A3: count, mean, std, min, quartiles (linear interpolation), max per numeric column.
 
     Exact, and without per-column state in one task: one scan reduces the rows to counts per
     distinct value, which are ranked by range-wise running totals. Nulls and NaN do not count.
+    With ``accuracy`` set, quartiles are approximate (1/accuracy in rank) from one aggregate,
+    for wide tables of high-cardinality doubles.
     """
     values = (
         df.select(*[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot([], columns, "feature", "value")
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
     )
+    if accuracy is not None:
+        quartiles = F.percentile_approx("value", list(QUARTILES.values()), accuracy)
+        return _shown(
+            values.groupBy("feature")
+            .agg(
+                F.count("*").alias("count"),
+                F.avg("value").alias("mean"),
+                F.stddev_samp("value").alias("std"),
+                F.min("value").alias("min"),
+                quartiles.alias("_q"),
+                F.max("value").alias("max"),
+            )
+            .withColumns({name: F.col("_q")[i] for i, name in enumerate(QUARTILES)}),
+            digits,
+        )
     counted = settled(
         values.groupBy("feature", "value")
         .agg(F.count("*").alias("n"))
@@ -67,12 +91,7 @@ def describe(
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
         quartiles.append((low + (high - low) * (at - F.floor(at))).alias(name))
     std = F.sqrt(F.try_divide("_squares", F.col("count") - 1)).alias("std")
-    full = stats.select("feature", "count", "mean", std, "min", *quartiles, "max")
-    if digits is None:
-        return full
-    return full.select(
-        "feature", "count", *[F.round(c, digits).alias(c) for c in full.columns[2:]]
-    )
+    return _shown(stats.select("feature", "count", "mean", std, "min", *quartiles, "max"), digits)
 
 
 def head(df: DataFrame, n: int = 3, order: str = "id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linksift.functions.draws import draw, row_hash
 from linksift.operators.evaluate import stack_models
+from linksift.session import spread
 from linksift.sources.links import balanced_links
 
 SCORED_MODELS = ["by_discount", "by_mix", "by_price", "by_quantity"]
@@ -23,16 +24,24 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keys(spark: SparkSession, sf_dir: str, source: str = "orders") -> DataFrame:
+    """The unique key of a given table as ``id``."""
+    key = {"orders": "o_orderkey", "customer": "c_custkey"}[source]
+    return spread(table(spark, sf_dir, source).select(F.col(key).alias("id")))
+
+
+def built_links(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    return balanced_links(keys(spark, sf_dir, source))
+
+
 def links(spark: SparkSession, sf_dir: str, source: str = "orders") -> DataFrame:
     """Two built links per row of ``source`` and the page URLs: (id, url, label)."""
-    key = {"orders": "o_orderkey", "customer": "c_custkey"}[source]
-    built = balanced_links(table(spark, sf_dir, source), key)
-    return built.unionByName(page_links(spark, sf_dir))
+    return built_links(spark, sf_dir, source).unionByName(page_links(spark, sf_dir))
 
 
 def train_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training table of the model queries, keyed by customer."""
-    return balanced_links(table(spark, sf_dir, "customer"), "c_custkey")
+    return built_links(spark, sf_dir, "customer")
 
 
 def odd_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ def local_session(cpus: int | str = "*", app: str = "linksift", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
         .config(METHOD_LIMIT, str(JIT_LIMIT))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
     )
@@ -45,9 +46,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores before heavy per-row work.
+    """Deal a small scan out to all cores before heavy per-row work.
 
-    A table with at least one split per core, as any large one has, is left as it is.
+    Meant for tables as read. One with at least one split per core, as any large one has, is
+    left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from linksift.functions import vocabulary as V
 from linksift.functions.draws import between, draw, happens, pick, pick_from, row_hash
-from linksift.session import spread
 
 LEGIT, PHISHING = 0, 1
 
@@ -56,7 +55,7 @@ LONG = LegitStyle(
 
 def _with_draws(ids: DataFrame, id_col: str, seed: int, tag: str, digests: int) -> DataFrame:
     """Add 4 draws per digest, named d0, d1, ..."""
-    hashed = spread(ids).withColumns(
+    hashed = ids.withColumns(
         {f"_h{i}": row_hash(seed, f"{tag}{i}", F.col(id_col)) for i in range(digests)}
     )
     return hashed.withColumns(

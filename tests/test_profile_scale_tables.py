@@ -25,6 +25,16 @@ def test_describe_equals_pandas(spark, data):
                 assert got.loc[column, stat] == pytest.approx(value, rel=1e-9), (column, stat)
 
 
+def test_describe_approximate(spark):
+    df = spark.range(10001).select(F.col("id").cast("double").alias("x"))
+    exact = P.describe(df, ["x"]).first()
+    close = P.describe(df, ["x"], accuracy=1000).first()
+    assert close.asDict().keys() == exact.asDict().keys()
+    assert (close["count"], close["mean"], close["std"]) == tuple(exact)[1:4]
+    for quartile in P.QUARTILES:
+        assert abs(close[quartile] - exact[quartile]) <= 25
+
+
 def test_scaler_uses_population_deviation(spark):
     df = spark.createDataFrame([(1.0, 5), (2.0, 5), (4.0, 5)], "a double, b int")
     got = fit_scaler(df, ["a", "b"]).transform(df).orderBy("a").collect()
