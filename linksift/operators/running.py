@@ -62,7 +62,8 @@ def running_totals(
 
     per_range = ranged.groupBy(*group).agg(
         *[F.sum(s).alias(f"_range_{s}") for s in sums],
-        edge(F.struct(*sums), order).alias("_first"),
+        # One number each: a struct here would turn the hash aggregate into a sorting one.
+        *[edge(s, order).alias(f"_first_{s}") for s in sums],
     )
     by_key = Window.partitionBy(*keys).orderBy(along("_range"))
     ahead = by_key.rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +71,9 @@ def running_totals(
         *group,
         *[F.coalesce(F.sum(f"_range_{s}").over(ahead), F.lit(0)).alias(f"_off_{s}") for s in sums],
         *[F.sum(f"_range_{s}").over(Window.partitionBy(*keys)).alias(f"all_{s}") for s in sums],
-        F.lead("_first").over(by_key).alias("_next_first"),
+        F.lead(F.struct(*[F.col(f"_first_{s}").alias(s) for s in sums]))
+        .over(by_key)
+        .alias("_next_first"),
     )
     in_range = Window.partitionBy(*group).orderBy(along(order))
     so_far = in_range.rowsBetween(Window.unboundedPreceding, -1)
