@@ -14,9 +14,9 @@ from linksift.operators.running import (
     ROWS_PER_RANGE,
     cut_points,
     running_totals,
-    settled,
     with_range,
 )
+from linksift.session import settled
 
 CELLS = ["c00", "c01", "c10", "c11"]
 SCORES = ["accuracy", "precision", "recall", "f1_score"]

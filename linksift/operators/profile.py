@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linksift.operators.running import ROWS_PER_RANGE, cut_points, running_totals, settled
+from linksift.operators.running import ROWS_PER_RANGE, cut_points, running_totals
+from linksift.session import settled
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 

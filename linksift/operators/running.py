@@ -11,7 +11,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linksift.session import shared_dir
 
 # A range is cut to about this many rows, so that it sorts within one task's memory.
 ROWS_PER_RANGE = 1_000_000
@@ -19,12 +18,6 @@ ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 8192
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table written once to the shared checkpoint folder, for the passes that follow."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def cut_points(df: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
     """Values that cut the rows of a settled table into ranges of like size."""
     ranges = min(MAX_RANGES, -(-df.count() // rows_per_range))

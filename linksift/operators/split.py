@@ -91,7 +91,7 @@ def hash_cutoffs(
         )
     ).collect()
     if any(r["next"] == r["key"] for r in hits):
-        raise ValueError(f"{id_col} is not unique: rows at a cut share one value")
+        raise ValueError(f"{id_col} is not unique: rows at a cut share one value; see numbered()")
     found = {(r["label"], r["key"][:digits], r["rank"]): r["key"] for r in hits}
     return sizes, {
         (klass, rank): found[klass, prefix, inside]

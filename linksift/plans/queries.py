@@ -17,12 +17,11 @@ from linksift.operators import learners as L
 from linksift.operators import profile as P
 from linksift.operators import report as R
 from linksift.operators import split as S
-from linksift.operators.running import settled
 from linksift.operators.scale import fit_scaler, scaled_names
 from linksift.plans import inputs as I
 from linksift.plans import training
 from linksift.plans.scoring import score_links
-from linksift.session import scratch_path, shared_dir, tune
+from linksift.session import scratch_path, settled, shared_dir, tune
 from linksift.sources import links as G
 from linksift.sources import schemas, tables
 from linksift.streaming.feed import link_stream, run_feed

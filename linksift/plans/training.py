@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from linksift.operators import evaluate as E
 from linksift.operators import learners as L
 from linksift.operators import report as R
-from linksift.operators.running import settled
 from linksift.operators.scale import fit_scaler, scaled_names
 from linksift.operators.split import sample_per_class, stratified_folds, stratified_split
-from linksift.session import shared_dir
+from linksift.session import settled, shared_dir
 from linksift.sources import tables
 
 

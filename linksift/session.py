@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
@@ -71,6 +72,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table written once to the shared checkpoint folder, for the passes that follow."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Give a table without a unique key one, fixed by writing the table once.
+
+    The numbers follow splits and row order, so without the write a re-read could differ.
+    """
+    return settled(df.withColumn(id_col, F.monotonically_increasing_id()))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/linksift/{name}-{uuid.uuid4().hex}"

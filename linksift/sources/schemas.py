@@ -10,6 +10,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 LINKS = _struct(id=T.LongType(), url=T.StringType(), label=T.IntegerType())
+PLAIN_LINKS = _struct(url=T.StringType(), label=T.IntegerType())
 LINK_FEATURES = _struct(
     id=T.LongType(), **{f: T.IntegerType() for f in FEATURES}, label=T.IntegerType()
 )

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linksift.operators.running import cut_points, running_totals, settled
+from linksift.operators.running import cut_points, running_totals, with_range
+from linksift.session import settled
 
 
 def rows(n=3000, seed=3):
@@ -43,8 +44,6 @@ def test_equals_plain_loop(spark, ascending, per_range):
 def test_ranges_are_balanced_under_skew(spark):
     df = settled(spark.createDataFrame(rows(6000), "k string, v double, x bigint, y bigint"))
     cuts = cut_points(df, "v", 100)
-    from linksift.operators.running import with_range
-
     sizes = with_range(df, "v", cuts).groupBy("_range").count().agg(F.max("count")).first()[0]
     assert sizes <= 300
 
