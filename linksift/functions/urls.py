@@ -50,8 +50,8 @@ DOTTED_QUAD = rf"[{DECIMALS}]{{1,3}}(?:\.[{DECIMALS}]{{1,3}}){{3}}"
 
 # White space trimmed from typed input.
 BLANKS = (
-    r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
-    r"\x{205F}\x{3000}]"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 # The address allowed in brackets: IPv6 with an optional zone, or the "future" form. A "::"
@@ -96,9 +96,10 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
         | ((F.octet_length("_netloc") != F.length("_netloc")) & F.col("_netloc").rlike(HOST_TRAPS))
     )
     has_params = F.contains("_path", F.lit(";")) & F.col("_scheme").isin(PARAM_SCHEMES)
-    bare_path = F.when(has_params, F.regexp_replace("_path", r";[^/]*\z", "")).otherwise(
-        F.col("_path")
-    )
+    # Cut by lengths: a pattern would look ahead again from every ";" of a long segment.
+    last = F.substring_index("_path", "/", -1)
+    cut = F.length("_path") - F.length(last) + F.length(F.substring_index(last, ";", 1))
+    bare_path = F.when(has_params, F.left("_path", cut)).otherwise(F.col("_path"))
     broken = F.col("invalid")
     return (
         df.withColumn("_clean", clean)
@@ -172,7 +173,7 @@ def with_url_features(df: DataFrame, url: str = "url", keep_parts: bool = False)
 
 def normalise_url(url: Column, prefix: str = "https://", strip: bool = True) -> Column:
     """P5: trim white space if asked and put a scheme in front unless it starts with "http"."""
-    text = F.regexp_replace(url, rf"^{BLANKS}+|{BLANKS}+\z", "") if strip else url
+    text = F.trim(url, F.lit(BLANKS)) if strip else url
     return F.when(F.startswith(text, F.lit("http")), text).otherwise(
         F.concat(F.lit(prefix), text)
     )
@@ -182,7 +183,7 @@ def typed_urls(
     df: DataFrame, url: str = "url", prefix: str = "https://", strip: bool = True
 ) -> DataFrame:
     """P5 + P6: blank input is dropped, the rest is normalised in place."""
-    text = F.regexp_replace(url, rf"^{BLANKS}+|{BLANKS}+\z", "") if strip else F.col(url)
+    text = F.trim(F.col(url), F.lit(BLANKS)) if strip else F.col(url)
     return (
         df.withColumn(url, text)
         .filter(F.length(url) > 0)

@@ -39,7 +39,7 @@ def test_split_is_exact(spark, sorted_rows):
     assert picked == {i for k, v in groups.items() for i in v[: sizes[k]]}
 
 
-def test_reference_sizes():
+def test_sizes_of_the_parts():
     assert S.held_out_sizes({0: 5000, 1: 5000}, 0.2) == {0: 1000, 1: 1000}
     assert S.held_out_sizes({0: 7, 1: 4}, 0.2) == {0: 2, 1: 1}
 
