@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linksift.llm import binary_ids, packing, quality, sharding
+from linksift.llm import (
+    binary_ids,
+    decontaminate,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    suffix_dedup,
+    toxicity,
+    url_templates,
+)
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,8 +52,7 @@ def op2_token_files(spark, sf):
 
 @query
 def op3_byte_shards(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return sharding.shard_documents(docs, 8).select(
+    return sharding.shard_documents(table(spark, sf, "documents"), ["doc_id"], 8).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -57,3 +67,48 @@ def op3_byte_shards(spark, sf):
 def op4_packed_sequences(spark, sf):
     packed = packing.pack_documents(table(spark, sf, "documents"), WORD_TOKENIZER, END_ID)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op5_decontaminated(spark, sf):
+    found = decontaminate.contamination(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"]
+    )
+    ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+
+
+@query
+def op6_url_templates(spark, sf):
+    rules = spark.createDataFrame(url_templates.RULES, "host string, path string, verdict string")
+    return url_templates.judge_urls(table(spark, sf, "pages"), rules)
+
+
+@query
+def op7_near_duplicates(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents")).drop("class")
+
+
+@query
+def op8_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.fit_model(docs, table(spark, sf, "labels").where(~held_out))
+    scored = toxicity.score_documents(docs, model, ["doc_id"])
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op9_similar_lines(spark, sf):
+    kept = line_dedup.dedup_lines(table(spark, sf, "documents"), ["doc_id"])
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op10_repeated_spans(spark, sf):
+    return suffix_dedup.without_repeats(table(spark, sf, "documents"), ["doc_id"]).drop("kept")

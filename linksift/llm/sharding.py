@@ -8,7 +8,7 @@ shrunk to a single key, a group of copies lies across the cut; the search goes o
 within the group. Then one exchange deals out the rows.
 
 Null texts have the size 1 and count as empty; null doc_ids come first in their group; rows equal
-in text and doc_id stay together. An empty table gives no rows. Other columns pass through.
+in text and doc_id stay together. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,11 +46,11 @@ class Cut:
     found: tuple[int, int] | None = None
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with size (UTF-8 bytes and one), text_crc32, _key and _id."""
+def keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` in _row, size (UTF-8 bytes and one), text_crc32, _key and _id."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        "*",
+        F.struct(*columns).alias("_row"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long").alias("_key"),
@@ -134,8 +134,11 @@ def shard_of(cuts: list[tuple[int, int]]) -> Column:
     return reduce(lambda a, b: a + b, beyond, F.lit(0))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` without texts, with size, text_crc32, shard and slot (gapless from 0)."""
-    rows = settle(keyed(docs).drop("text"), "keyed")
+def shard_documents(
+    docs: DataFrame, columns: list[str], shards: int = 8, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """``columns`` of every document, size, text_crc32, shard and slot (gapless from 0 in a shard)."""
+    rows = settle(keyed(docs, columns), "keyed")
     dealt = rows.withColumn("shard", shard_of(find_cuts(rows, shards, tolerance)))
-    return number_within(dealt, "shard", ["_key", "_id", "size"], "slot").drop("_key", "_id")
+    numbered = number_within(dealt, "shard", ["_key", "_id", "size"], "slot")
+    return numbered.select("_row.*", "size", "text_crc32", "shard", "slot")

@@ -1,0 +1,195 @@
+"""Token files, shards and packing against the tokenizer itself and plain sums."""
+
+import itertools
+import random
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from linksift.llm import binary_ids, packing, sharding
+from linksift.llm.tables import fresh_path
+from linksift.llm.tokens import Encoder
+
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module", params=[BYTES, WORDS])
+def coder(request):
+    plain = Tokenizer.from_file(request.param)
+    plain.encode_special_tokens = True
+    return Encoder(request.param), plain
+
+
+def same(coder, text):
+    own, plain = coder
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.sampled_from("aB éÀñÉ'stdre09\n\t .,*$#²İΣς日本\u0301\u00a0<|>"), max_size=40))
+def test_cached_pieces_give_the_same_ids(coder, text):
+    same(coder, text)
+
+
+def test_odd_texts_give_the_same_ids(coder, odd_rows):
+    for row in odd_rows:
+        same(coder, row[1] or "")
+    same(coder, "<|endoftext|> <|startoftext|>")
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 31, 32])
+def test_bits_round_trip(bits):
+    rng = np.random.default_rng(bits)
+    for count in (0, 1, 7, 8, 9, 1000):
+        ids = rng.integers(0, 1 << bits, count, dtype=np.uint64).astype(np.uint32)
+        data = binary_ids.pack_bits(ids, bits)
+        assert len(data) == -(-count // 8) * bits
+        assert (binary_ids.unpack_bits(data, count, bits) == ids).all()
+
+
+def test_fewest_bits():
+    assert [binary_ids.bits_for(n) for n in (1, 2, 3, 256, 257, 50_257)] == [1, 1, 2, 8, 9, 16]
+
+
+def test_random_access(tmp_path, monkeypatch):
+    monkeypatch.setattr(binary_ids, "BLOCK_IDS", 64)
+    docs = [np.arange(n, dtype=np.uint32) * 7 % 50_000 for n in (1, 200, 0, 63, 64, 5)]
+    with open(tmp_path / "x", "wb") as out:
+        writer = binary_ids.Writer(out, 16)
+        for key, ids in zip([None, 1, 2, 2, -5, 9], docs):
+            writer.add(key, ids)
+        writer.close()
+    system, root = binary_ids.file_system(str(tmp_path))
+    reader = binary_ids.Reader(system.open_input_file(f"{root}/x"))
+    whole = np.concatenate(docs)
+    for a, b in itertools.combinations([0, 1, 63, 64, 65, 130, len(whole)], 2):
+        assert (np.concatenate(list(reader.ids(a, b))) == whole[a:b]).all()
+    assert reader.nulls.tolist() == [True] + [False] * 5 and reader.keys.tolist()[1:] == [1, 2, 2, -5, 9]
+
+
+def test_token_files(odd_docs, odd_rows):
+    plain = Tokenizer.from_file(BYTES)
+    plain.encode_special_tokens = True
+    got = binary_ids.read_documents(binary_ids.write_ids(odd_docs, BYTES, 2, 50_257, 5)).collect()
+    want = Counter()
+    for key, text, *_ in odd_rows:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+        want[(key, len(ids), brute.crc(ids))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    in_order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in in_order] == np.cumsum([0, *(r.n_tokens for r in in_order)]).tolist()[:-1]
+    keys = [r.doc_id for r in in_order]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+
+
+def test_token_files_of_nothing(spark, no_docs):
+    folder = fresh_path(spark, "none")
+    assert binary_ids.read_documents(binary_ids.write_ids(no_docs, BYTES, 2, 50_257, 3, folder)).count() == 0
+
+
+def check_shards(got, rows, shards, slack):
+    want = Counter((r[0], len((r[1] or "").encode()) + 1) for r in rows)
+    assert Counter((r.doc_id, r["size"]) for r in got) == want
+    total, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        total[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    even = sum(total.values()) / shards
+    assert max(abs(total[s] - even) for s in range(shards)) <= slack
+
+
+def test_shards(odd_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(sharding, "PROBES", 16)
+    got = sharding.shard_documents(odd_docs, ["doc_id"], 3).collect()
+    check_shards(got, odd_rows, 3, max(len((r[1] or "").encode()) for r in odd_rows))
+
+
+def test_a_group_of_copies_is_cut_by_id(spark):
+    rows = [(i * 10**15 - 10**17, "the same text") for i in range(400)] + [(i, f"text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard_documents(docs, ["doc_id"], 8).collect()
+    check_shards(got, rows, 8, 20)
+
+
+def test_shards_of_extreme_ids(spark):
+    ids = [-(1 << 63), (1 << 63) - 1, 0, None, None, 5, 6, 7]
+    rows = [(i, "same") for i in ids]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], 2).collect()
+    check_shards(got, rows, 2, 5)
+
+
+def test_shards_of_nothing(no_docs):
+    assert sharding.shard_documents(no_docs, ["doc_id"]).count() == 0
+
+
+def best_sum(counts, room):
+    sums = {0}
+    for length, n in counts.items():
+        sums = {s + length * k for s in sums for k in range(n + 1) if s + length * k <= room}
+    return max(sums)
+
+
+def test_windows_are_filled_as_well_as_can_be():
+    rng = random.Random(3)
+    for _ in range(200):
+        counts = {rng.randint(1, 30): rng.randint(1, 4) for _ in range(rng.randint(1, 6))}
+        room = rng.randint(0, 60)
+        window = dict(packing.fill_window(counts, room))
+        assert all(0 < n <= counts[x] for x, n in window.items())
+        assert sum(x * n for x, n in window.items()) == best_sum(counts, room)
+
+
+def test_plan_places_every_piece_once():
+    rng = random.Random(4)
+    counts = {x: rng.randint(1, 40) for x in rng.sample(range(1, 101), 50)}
+    plan, filled = packing.plan_windows(counts, 100), defaultdict(list)
+    for r in plan.itertuples():
+        for number in range(r.first, r.last + 1):
+            window, at = divmod(number - r.first, r.each)
+            filled[r.sequence + window].append((r.offset_0 + at * r.at_length, r.at_length))
+    assert Counter(x for w in filled.values() for _, x in w) == Counter(counts)
+    for window in filled.values():
+        end = 0
+        for offset, length in sorted(window):
+            assert offset == end
+            end += length
+        assert end <= 100
+    assert len(filled) <= -(-sum(x * n for x, n in counts.items()) // 100) + 1
+
+
+def test_packed_sequences(odd_docs, odd_rows):
+    plain = Tokenizer.from_file(WORDS)
+    plain.encode_special_tokens = True
+    packed = packing.pack_documents(odd_docs, WORDS, 2, 256).cache()
+    got = packed.collect()
+    texts = Counter()
+    for key, text, *_ in odd_rows:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+        for a in range(0, len(ids), 256):
+            texts[(key, a, len(ids[a : a + 256]), len(ids), brute.crc(ids[a : a + 256]))] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in got) == texts
+    by_sequence = defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for window in by_sequence.values():
+        end = 0
+        for offset, length in sorted(window):
+            assert offset == end
+            end += length
+        assert end <= 256
+    total = sum(r.length for r in got)
+    assert len(by_sequence) <= 1.02 * total / 256 + 1
+    whole = {r.sequence_id: r for r in packing.sequences(packed).collect()}
+    assert all(len(r.ids) == 4 * r.length for r in whole.values()) and len(whole) == len(by_sequence)
+
+
+def test_packing_nothing(no_docs):
+    assert packing.pack_documents(no_docs, WORDS, 2).count() == 0
