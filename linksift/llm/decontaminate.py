@@ -112,7 +112,7 @@ def contamination(
     )
     hits = hits.select("_doc", "_a", "_b", covered.alias("n_hit"), "item_ids")
     base = docs.select(
-        *columns,
+        F.struct(*columns).alias("_row"),
         F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
         F.col("doc_id").alias("_id"),
         F.xxhash64(text).alias("_x"),
@@ -121,7 +121,7 @@ def contamination(
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return base.join(hits, same, "left").select(
-        *columns,
+        "_row.*",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),

@@ -315,9 +315,9 @@ def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every document, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256."""
     spans = settle(repeated_spans(docs), "spans")
     spans = _small(spans, F.size("spans"))
-    source = docs.select("text", *(c for c in columns if c != "text"), text_key().alias("_key"))
+    source = docs.select("text", F.struct(*columns).alias("_row"), text_key().alias("_key"))
     joined = source.join(spans.withColumnRenamed("text_key", "_of"), F.col("_key") == F.col("_of"), "left").drop("_key", "_of")
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in columns)
+    schema = f"_row {source.schema['_row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long"
     added = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +333,8 @@ def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
                 kept = b"".join([*parts, data[at:]])
                 rows.append((len(data), len(data) - len(kept), n_spans, kept, hashlib.sha256(kept).hexdigest()))
             found = list(zip(*rows)) or [()] * len(added)
-            arrays = [batch.column(c) for c in columns] + [pa.array(x, kind) for x, (_, kind) in zip(found, added)]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, *(name for name, _ in added)])
+            arrays = [batch.column("_row"), *(pa.array(x, kind) for x, (_, kind) in zip(found, added))]
+            yield pa.RecordBatch.from_arrays(arrays, ["_row", *(name for name, _ in added)])
 
-    return joined.mapInArrow(cut, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    found = joined.mapInArrow(cut, f"{schema}, kept binary, kept_sha256 string")
+    return found.select("_row.*", *(name for name, _ in added))
