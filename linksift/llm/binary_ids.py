@@ -166,9 +166,9 @@ def write_ids(
                 system.create_dir(root, recursive=True)
                 out = system.open_output_stream(own)
                 writer = Writer(out, bits)
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.frombuffer(encoder.encode(text), "<u4")
-                writer.add(key, np.append(ids, np.uint32(end_id)))
+            for key, text in zip(batch.column("doc_id"), batch.column("text")):
+                ids = np.frombuffer(encoder.encode(text.as_py()), "<u4")
+                writer.add(key.as_py(), np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             out.close()

@@ -39,11 +39,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, rows, held = Encoder(tokenizer), [], 0
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                data = encoder.encode(text) + end
+            for key, text in zip(batch.column("doc_id"), batch.column("text")):
+                data = encoder.encode(text.as_py()) + end
                 for at in range(0, len(data), 4 * capacity):
                     part = data[at : at + 4 * capacity]
-                    rows.append((key, at // 4, len(part) // 4, len(data) // 4, part))
+                    rows.append((key.as_py(), at // 4, len(part) // 4, len(data) // 4, part))
                 held += len(data)
                 if held > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)

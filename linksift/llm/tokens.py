@@ -2,48 +2,69 @@
 
 from __future__ import annotations
 
+import re
+import struct
+
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
 CACHED_PIECES = 300_000
-# The splitting patterns of the two tokenizer files.
-BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-# Characters whose classes are the same in every Unicode version and regular expression library;
-# a text with any other is given to the tokenizer whole.
-PLAIN = regex.compile(
-    "[\t\n\r\x20-\x7e¡-¬®-įĲ-ȳΑ-ΡΣ-Ωα-ω"
-    "Ѐ-џ‐-―‘-„…ぁ-ゖ一-龥]*+"
-)
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ıĲ-ſ"
+DIGITS = "0-9²³¹¼-¾"
+# The splitting patterns of the two tokenizer files, over the characters of PLAIN.
+BYTE_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
+WORD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+"
+# Characters whose classes are written out above; a text with any other is encoded whole.
+NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įĲ-ſ]")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write bytes as letters: printing ones as they are, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+class Pieces(dict):
+    """The ids of pieces, as little-endian unsigned 32-bit numbers; a new piece is encoded once."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            written = piece.replace(" ", self.letters[32])
+        else:
+            written = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.model.tokenize(written)]
+        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
 
 class Encoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids.
 
-    The two supported files encode each piece of their own pattern for itself, so a piece met
-    before needs no second encoding. Strings of special tokens count as ordinary text.
+    Both files split a text into pieces by a pattern and encode each piece for itself, so pieces
+    are given to the tokenizer's model once and remembered. Strings of special tokens count as
+    ordinary text.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.normalizer = self.tokenizer.normalizer
-        self.pieces = regex.compile(WORD_PIECES if self.normalizer else BYTE_PIECES)
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        self.lowers = self.tokenizer.normalizer is not None
+        self.split = re.compile(WORD_PIECES if self.lowers else BYTE_PIECES).findall
+        self.known = Pieces(self.tokenizer.model)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not PLAIN.fullmatch(text):
-            return self._whole([text])[0]
-        pieces = self.pieces.findall(self.normalizer.normalize_str(text) if self.normalizer else text)
+        if NOT_PLAIN.search(text):
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            return np.array(found.ids, "<u4").tobytes()
+        # Of plain characters the normalizer only changes the case and white space.
+        plain = text.lower() if self.lowers else text
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
-        if new := list(set(pieces).difference(self.known)):
-            self.known.update(zip(new, self._whole(new)))
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, self.split(plain)))
