@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from linksift.llm import binary_ids, packing, sharding
 from linksift.llm.tables import fresh_path
-from linksift.llm.tokens import Encoder
+from linksift.llm.tokens import NOT_PLAIN, Encoder
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,13 @@ def test_cached_pieces_give_the_same_ids(coder, text):
     same(coder, text)
 
 
+def test_every_plain_character_gives_the_same_ids(coder):
+    plain = [c for c in map(chr, range(0x250)) if not NOT_PLAIN.search(c)]
+    for c in plain:
+        same(coder, f"a{c}b {c} {c}{c}")
+    same(coder, "".join(plain))
+
+
 def test_odd_texts_give_the_same_ids(coder, odd_rows):
     for row in odd_rows:
         same(coder, row[1] or "")
