@@ -39,3 +39,125 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     and not (2 * n_dup_lines > n_lines) and not (word_chars > 20 * n_words) as kept
 from judged
 """
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op5_decontaminated"] = rf"""
+with docs as (
+  select row_number() over () as row_no, doc_id, {_ITEM_WORDS} as words from documents
+), items as (
+  select item_id, words, least(13, len(words)) as size
+  from (select item_id, {_ITEM_WORDS} as words from benchmark) where len(words) > 0
+), windows as (
+  select distinct item_id, size, array_to_string(words[pos:pos + size - 1], ' ') as phrase
+  from (select *, unnest(range(1, len(words) - size + 2)) as pos from items)
+), places as (
+  select row_no, size, pos, array_to_string(words[pos:pos + size - 1], ' ') as phrase
+  from (select row_no, words, size, unnest(range(1, len(words) - size + 2)) as pos
+        from docs, (select distinct size from windows))
+), hits as (
+  select row_no, pos, size, item_id from places join windows using (size, phrase)
+), covered as (
+  select row_no, count(distinct pos + shift) as n_hit
+  from (select row_no, pos, unnest(range(size)) as shift from hits) group by row_no
+), named as (
+  select row_no, count(*) as n_items, string_agg(item, ',' order by item) as listed
+  from (select distinct row_no, item_id::varchar as item from hits where item_id is not null)
+  group by row_no
+)
+select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(listed, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from docs left join covered using (row_no) left join named using (row_no)
+"""
+
+ORACLES["op7_near_duplicates"] = rf"""
+with recursive docs as (
+  select doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') as words from documents
+), shingles as (
+  select distinct doc_id, array_to_string(words[pos:pos + 3], ' ') as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as pos
+        from docs where len(words) > 0)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as common
+  from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+), links as (
+  select x, y from pairs join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+  where 100 * common >= 80 * (a.n + b.n - common)
+), reach(doc_id, other) as (
+  select x, y from links union select doc_id, y from reach join links on other = x
+), lowest as (
+  select doc_id, min(other) as other from reach group by doc_id
+)
+select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, other) as component_id,
+  doc_id = least(doc_id, other) as kept
+from docs left join sizes using (doc_id) left join lowest using (doc_id)
+"""
+
+ORACLES["op9_similar_lines"] = r"""
+with cut as (
+  select doc_id, text is null as is_null, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as no
+  from documents
+), lines as (
+  select *, row_number() over (order by doc_id, no) as place,
+    list_distinct(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as words
+  from cut
+), words as (
+  select place, len(words) as n, unnest(words) as word from lines where len(words) >= 5
+), ranked as (
+  select w.place, w.word, row_number() over (partition by w.place order by f.times, w.word) as spot, w.n
+  from words w join (select word, count(*) as times from words group by word) f using (word)
+), prefix as (
+  select place, word, n from ranked where spot <= n - (4 * n + 4) // 5 + 1
+), candidates as (
+  select distinct a.place as later, b.place as earlier from prefix a join prefix b
+  on a.word = b.word and b.place < a.place and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
+), removed as (
+  select distinct later as place from (
+    select later, len(list_intersect(a.words, b.words)) as common, len(a.words) + len(b.words) as both
+    from candidates join lines a on a.place = later join lines b on b.place = earlier)
+  where 100 * common >= 80 * (both - common)
+)
+select doc_id, case when any_value(is_null) then 0 else count(*) end as n_lines,
+  count(r.place) as n_removed,
+  case when not any_value(is_null) then
+    sha256(coalesce(string_agg(line, chr(10) order by no) filter (where r.place is null), '')) end as kept_sha256
+from lines left join removed r using (place) group by doc_id
+"""
+
+ORACLES["op10_repeated_spans"] = r"""
+with texts as (
+  select row_number() over () as row_no, doc_id, hex(encode(coalesce(text, ''))) as digits from documents
+), starts as (
+  select row_no, pos, md5(substr(digits, 2 * pos + 1, 800)) as content
+  from (select row_no, digits, unnest(range(length(digits) // 2 - 399)) as pos
+        from texts where length(digits) >= 800)
+), twins as (
+  select row_no, pos from starts
+  where content in (select content from starts group by content having count(*) > 1)
+), marked as (
+  select *, pos > coalesce(max(pos + 400) over (partition by row_no order by pos
+    rows between unbounded preceding and 1 preceding), -1) as begins
+  from twins
+), spans as (
+  select row_no, min(pos) as a, max(pos) + 400 as b
+  from (select *, sum(begins::int) over (partition by row_no order by pos) as span from marked)
+  group by row_no, span
+), gaps as (
+  select row_no, coalesce(lag(b) over (partition by row_no order by a), 0) as a, a as b from spans
+  union all select row_no, max(b), null from spans group by row_no
+), kept as (
+  select row_no, string_agg(substr(digits, 2 * g.a + 1,
+    2 * (coalesce(g.b, length(digits) // 2) - g.a)), '' order by g.a) as left_over
+  from gaps g join texts using (row_no) group by row_no
+), sums as (
+  select row_no, count(*) as n_spans, sum(b - a)::bigint as n_removed from spans group by row_no
+)
+select doc_id, length(digits) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed,
+  coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(left_over, digits))) as kept_sha256
+from texts left join sums using (row_no) left join kept using (row_no)
+"""
