@@ -118,9 +118,9 @@ with cut as (
   on a.word = b.word and b.place < a.place and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
 ), removed as (
   select distinct later as place from (
-    select later, len(list_intersect(a.words, b.words)) as common, len(a.words) + len(b.words) as both
+    select later, len(list_intersect(a.words, b.words)) as common, len(a.words) + len(b.words) as total
     from candidates join lines a on a.place = later join lines b on b.place = earlier)
-  where 100 * common >= 80 * (both - common)
+  where 100 * common >= 80 * (total - common)
 )
 select doc_id, case when any_value(is_null) then 0 else count(*) end as n_lines,
   count(r.place) as n_removed,
