@@ -111,3 +111,20 @@ PAGE_FEATURES = [
     "ImagesOnlyInForm", "SubdomainLevelRT", "UrlLengthRT", "PctExtResourceUrlsRT",
     "AbnormalExtFormActionR", "ExtMetaScriptLinkRT", "PctExtNullSelfRedirectHyperlinksRT",
 ]
+
+# Shown risk flags. A number above its limit is a warning.
+RISK_LIMITS = [
+    ("URL Length", "url_length", 75),
+    ("Domain Length", "domain_length", 30),
+    ("Dots in URL", "num_dots", 3),
+    ("Domain Hyphens", "num_hyphens", 1),
+]
+# Shown yes-or-no flags with the class of each answer.
+RISK_MARKS = [
+    ("HTTPS", "has_https", "good", "bad"),
+    ("IP Address", "has_ip", "bad", "good"),
+    ("Suspicious TLD", "suspicious_tld", "bad", "good"),
+    ("Has 'login'", "has_login", "warn", ""),
+    ("Has 'secure'", "has_secure", "warn", ""),
+    ("Has 'verify'", "has_verify", "warn", ""),
+]

@@ -43,9 +43,16 @@ def union_models(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def confusion(predictions: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
-    """A4: counts c<actual><predicted>; cells stay 0 when a class is missing."""
-    hit = lambda y, p: F.count_if((F.col("label") == y) & (F.col("prediction") == p))
-    return predictions.groupBy(*keys).agg(
+    """A4: counts c<actual><predicted>; cells stay 0 when a class is missing.
+
+    A row whose label or prediction is neither 0 nor 1 fails the job instead of being left out.
+    """
+    told = F.concat_ws(" ", F.lit("a label or prediction is not 0 or 1:"), "label", "prediction")
+    known = F.col("label").isin(0, 1) & F.col("prediction").isin(0, 1)
+    cell = F.when(F.coalesce(known, F.lit(False)), F.col("label") * 2 + F.col("prediction"))
+    cell = F.coalesce(cell.cast("int"), F.raise_error(told).cast("int"))
+    hit = lambda y, p: F.count_if(F.col("_cell") == 2 * y + p)
+    return predictions.withColumn("_cell", cell).groupBy(*keys).agg(
         *[hit(int(c[1]), int(c[2])).alias(c) for c in CELLS]
     )
 

@@ -36,7 +36,7 @@ def describe(
 ) -> DataFrame:
     """A3: count, mean, std, min, quartiles (linear interpolation), max per numeric column.
 
-    Exact, and without per-column state in one task: one scan reduces the rows to counts per
+    A column of nulls has count 0 and nulls. Exact, and without per-column state in one task: one scan reduces the rows to counts per
     distinct value, which are ranked by range-wise running totals. Nulls and NaN do not count.
     With ``accuracy`` set, quartiles are approximate (1/accuracy in rank) from one aggregate,
     for wide tables of high-cardinality doubles.
@@ -78,6 +78,7 @@ def describe(
             picks[f"{name}_{side}"] = F.max(
                 F.when((first <= index) & (index < end), F.col("value"))
             )
+    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
     stats = ranked.groupBy("feature").agg(
         F.sum("n").alias("count"),
         F.max(mean).alias("mean"),
@@ -92,7 +93,10 @@ def describe(
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
         quartiles.append((low + (high - low) * (at - F.floor(at))).alias(name))
     std = F.sqrt(F.try_divide("_squares", F.col("count") - 1)).alias("std")
-    return _shown(stats.select("feature", "count", "mean", std, "min", *quartiles, "max"), digits)
+    stats = stats.select("feature", "count", "mean", std, "min", *quartiles, "max")
+    # A column without a value has a row too: count 0, all else null.
+    every = listed.join(stats, "feature", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return _shown(every, digits)
 
 
 def head(df: DataFrame, n: int = 3, order: str = "id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linksift.functions.vocabulary import FEATURE_TITLES
+from linksift.functions.vocabulary import FEATURE_TITLES, RISK_LIMITS, RISK_MARKS
 from linksift.operators.evaluate import best_model
 
 # Shown metric names.
@@ -19,30 +19,24 @@ METRIC_TITLES = {
 
 
 def yes_no(flag: Column) -> Column:
-    return F.when(flag == 1, "Yes").otherwise("No")
+    return F.when(flag == 1, "Yes").when(flag.isNotNull(), "No")
 
 
 def risk_flags(features: DataFrame, keys: list[str]) -> DataFrame:
-    """P10: one row per (URL, judged feature) with the shown value and its class."""
-    over = lambda name, limit: (
-        F.col(name).cast("string"),
-        F.when(F.col(name) > limit, "warn").otherwise(""),
-    )
-    judged = lambda name, yes, no: (
-        yes_no(F.col(name)),
-        F.when(F.col(name) == 1, yes).otherwise(no),
-    )
+    """P10: one row per (URL, judged feature) with the shown value and its class.
+
+    A URL without features (a null one) has a null value and a null class.
+    """
     items = {
-        "URL Length": over("url_length", 75),
-        "Domain Length": over("domain_length", 30),
-        "Dots in URL": over("num_dots", 3),
-        "Domain Hyphens": over("num_hyphens", 1),
-        "HTTPS": judged("has_https", "good", "bad"),
-        "IP Address": judged("has_ip", "bad", "good"),
-        "Suspicious TLD": judged("suspicious_tld", "bad", "good"),
-        "Has 'login'": judged("has_login", "warn", ""),
-        "Has 'secure'": judged("has_secure", "warn", ""),
-        "Has 'verify'": judged("has_verify", "warn", ""),
+        title: (
+            F.col(name).cast("string"),
+            F.when(F.col(name) > limit, "warn").when(F.col(name).isNotNull(), ""),
+        )
+        for title, name, limit in RISK_LIMITS
+    }
+    items |= {
+        title: (yes_no(F.col(name)), F.when(F.col(name) == 1, yes).when(F.col(name).isNotNull(), no))
+        for title, name, yes, no in RISK_MARKS
     }
     rows = F.array(
         *[
@@ -71,13 +65,13 @@ def key_features(features: DataFrame, keys: list[str]) -> DataFrame:
 def class_name(
     column: Column, positive: str = "PHISHING", negative: str = "SAFE", positive_class: int = 1
 ) -> Column:
-    """The name of a class; which class is the positive one is up to the caller."""
-    return F.when(column == positive_class, positive).otherwise(negative)
+    """The name of a class, null for null; which class is the positive one is up to the caller."""
+    return F.when(column == positive_class, positive).when(column.isNotNull(), negative)
 
 
 def confidence(prediction: Column, score: Column) -> Column:
-    """Probability of the predicted class, from the probability of class 1."""
-    return F.when(prediction == 1, score).otherwise(1.0 - score)
+    """Probability of the predicted class, from the probability of class 1; null for null."""
+    return F.when(prediction == 1, score).when(prediction.isNotNull(), 1.0 - score)
 
 
 def top_confidence(score: Column) -> Column:
@@ -91,8 +85,8 @@ def percent_bar(confidence_value: Column) -> Column:
 
 
 def hit_mark(prediction: Column, label: Column) -> Column:
-    """P12."""
-    return F.when(prediction == label, "OK").otherwise("MISS")
+    """P12; null where either side is null."""
+    return F.when(prediction == label, "OK").when(prediction != label, "MISS")
 
 
 def feature_title(feature: Column) -> Column:
@@ -160,8 +154,7 @@ def metric_cards(metrics: DataFrame, order: list[str], links: DataFrame) -> Data
     best = best_model(metrics, order).select(
         F.col("model").alias("best_model"), percent(F.col("accuracy")).alias("accuracy")
     )
-    size = links.agg(F.count("*").alias("n_links"))
-    return best.withColumn("k", F.lit(1)).join(size.withColumn("k", F.lit(1)), "k").drop("k")
+    return best.withColumn("n_links", links.agg(F.count("*")).scalar())
 
 
 def ranked_importance(importance: DataFrame, top: int | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Rows are ordered by a hash of their id. The hash at a wanted rank is found by narrowing down:
 count rows per hash prefix, keep only the prefix that holds the rank, and so on; only the last,
-small bucket is sorted. The result is one literal per (class, rank), so that assigning rows to
+small bucket is sorted. Rows that share an id share a hash and so a part: sizes are exact for unique
+ids, and off by at most the copies of the ids at the cuts otherwise. The result is one literal per (class, rank), so that assigning rows to
 parts is a plain column expression: no shuffle and no join of the data itself.
 """
 
@@ -69,8 +70,8 @@ def hash_cutoffs(
         largest = max(buckets[b] for b in open_buckets)
         if largest <= sorted_rows:
             break
-        if digits >= HASH_DIGITS:
-            raise ValueError(f"{id_col} is not unique: one value has {largest} rows of a class")
+        if digits >= HASH_DIGITS:  # rows of one id: the whole hash is the cut
+            return sizes, {target: prefix for target, (prefix, _) in wanted.items()}
         digits = min(HASH_DIGITS, digits + PREFIX_STEP)
         buckets = histogram(rows, digits)
     if not wanted:
@@ -78,7 +79,7 @@ def hash_cutoffs(
 
     in_bucket = Window.partitionBy("label", F.substring("key", 1, digits)).orderBy("key")
     placed = rows.withColumns(
-        {"rank": F.row_number().over(in_bucket), "next": F.lead("key").over(in_bucket)}
+        {"rank": F.row_number().over(in_bucket)}
     )
     hits = placed.filter(
         _any(
@@ -90,8 +91,6 @@ def hash_cutoffs(
             ]
         )
     ).collect()
-    if any(r["next"] == r["key"] for r in hits):
-        raise ValueError(f"{id_col} is not unique: rows at a cut share one value; see numbered()")
     found = {(r["label"], r["key"][:digits], r["rank"]): r["key"] for r in hits}
     return sizes, {
         (klass, rank): found[klass, prefix, inside]
@@ -185,19 +184,14 @@ def sample_per_class(
     id_col: str = "id",
     label: str = "label",
     seed: int = 99,
-    sorted_rows: int = SORTED_ROWS,
 ) -> DataFrame:
-    """L4 / O2: the ``per_class`` rows of each class with the lowest hashes (all, if fewer)."""
-    _, cuts = hash_cutoffs(
-        df,
-        id_col,
-        label,
-        seed,
-        lambda sizes: {c: [min(per_class, n)] for c, n in sizes.items()},
-        sorted_rows,
-    )
-    picked = _upto(label, {c: cut for (c, _), cut in cuts.items()})
-    return df.withColumn("_key", row_hash(seed, F.col(id_col))).filter(picked).drop("_key")
+    """L4 / O2: the ``per_class`` rows of each class with the lowest hashes (all, if fewer).
+
+    One scan: every task keeps its own lowest rows of each class before the shuffle.
+    """
+    lowest = Window.partitionBy(label).orderBy(row_hash(seed, F.col(id_col)))
+    placed = df.withColumn("_place", F.row_number().over(lowest))
+    return placed.filter(F.col("_place") <= per_class).drop("_place")
 
 
 def shuffled(df: DataFrame, id_col: str = "id", seed: int = 42) -> DataFrame:

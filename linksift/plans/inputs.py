@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linksift.functions.draws import draw, row_hash
 from linksift.operators.evaluate import stack_models
-from linksift.session import spread
+from linksift.session import settled
 from linksift.sources.links import balanced_links
 
 SCORED_MODELS = ["by_discount", "by_mix", "by_price", "by_quantity"]
@@ -27,7 +27,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keys(spark: SparkSession, sf_dir: str, source: str = "orders") -> DataFrame:
     """The unique key of a given table as ``id``."""
     key = {"orders": "o_orderkey", "customer": "c_custkey"}[source]
-    return spread(table(spark, sf_dir, source).select(F.col(key).alias("id")))
+    return table(spark, sf_dir, source).select(F.col(key).alias("id"))
 
 
 def built_links(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
@@ -40,8 +40,13 @@ def links(spark: SparkSession, sf_dir: str, source: str = "orders") -> DataFrame
 
 
 def train_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training table of the model queries, keyed by customer."""
-    return built_links(spark, sf_dir, "customer")
+    """The training table of the model queries: ``links`` with a tenth of the labels wrong.
+
+    Which ones is a function of the id. Built links alone are separable, so models would not differ.
+    """
+    wrong = draw(row_hash(11, "noise", F.col("id")), 0) % 10 == 0
+    label = F.when(wrong, 1 - F.col("label")).otherwise(F.col("label"))
+    return links(spark, sf_dir).withColumns({"label": label, "is_wrong": wrong})
 
 
 def odd_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +71,20 @@ def odd_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 14, F.regexp_replace(url, "^https?:", ""))
         .otherwise(url)
     )
-    # As generator output, so that a filter on the URL is not pushed into (and does not repeat)
-    # the expressions that build it.
-    return links(spark, sf_dir).select(
-        "id", F.inline(F.array(F.struct(bent.alias("url")))), "label"
+    # Settled, since a filter on the URL would repeat the expressions that build it.
+    return settled(links(spark, sf_dir).withColumn("url", bent))
+
+
+def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``odd_links``, some with line breaks, back strokes or the text of the null token."""
+    url, kind = F.col("url"), F.pmod("id", F.lit(5))
+    broken = (
+        F.when(kind == 0, F.concat(url, F.lit("\n\r\n\\n\\\\b,\"x\"")))
+        .when(kind == 1, F.concat(F.lit("\\N"), url, F.lit("\r")))
+        .when((kind == 2) & (F.pmod("id", F.lit(7)) == 0), "\\N")
+        .otherwise(url)
     )
+    return odd_links(spark, sf_dir).withColumn("url", broken)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +106,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack_models(base, pairs, ["fold", "label"])
 
 
-def wide_table(spark: SparkSession, sf_dir: str, width: int = 48) -> DataFrame:
-    """A wide numeric table with its label under another name: id, e0..e47, CLASS_LABEL."""
+def wide_table(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
+    """A wide numeric table with its label under another name: id, e0..e63, CLASS_LABEL."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
         *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)],

@@ -1,8 +1,13 @@
-"""The same results in plain SQL over the given tables, written independently of the jobs."""
+"""The same results in plain SQL over the given tables.
+
+The word lists, fixed values of the vocabulary, are shared with the jobs; tests hold them against
+stated sizes and rows.
+"""
 
 from __future__ import annotations
 
 from linksift.functions import vocabulary as V
+from linksift.operators import learners as L
 from linksift.plans.inputs import SCORED_MODELS
 
 
@@ -175,10 +180,10 @@ def _normalised(text: str, prefix: str) -> str:
 
 
 def _yes_no(column: str) -> str:
-    return f"CASE WHEN {column} = 1 THEN 'Yes' ELSE 'No' END"
+    return f"CASE WHEN {column} = 1 THEN 'Yes' WHEN {column} IS NOT NULL THEN 'No' END"
 
 
-def _flags() -> str:
+def _flags(source: str) -> str:
     limits = {
         "URL Length": ("url_length", 75),
         "Domain Length": ("domain_length", 30),
@@ -195,13 +200,14 @@ def _flags() -> str:
     }
     rows = [
         f"SELECT id, {_text(t)} AS feature, {c}::VARCHAR AS value, "
-        f"CASE WHEN {c} > {n} THEN 'warn' ELSE '' END AS severity FROM f"
+        f"CASE WHEN {c} > {n} THEN 'warn' WHEN {c} IS NOT NULL THEN '' END AS severity FROM f"
         for t, (c, n) in limits.items()
     ] + [
-        f"SELECT id, {_text(t)}, {_yes_no(c)}, CASE WHEN {c} = 1 THEN '{y}' ELSE '{n}' END FROM f"
+        f"SELECT id, {_text(t)}, {_yes_no(c)}, "
+        f"CASE WHEN {c} = 1 THEN '{y}' WHEN {c} IS NOT NULL THEN '{n}' END FROM f"
         for t, (c, y, n) in judged.items()
     ]
-    return f"WITH f AS {_features(_links())} " + " UNION ALL ".join(rows)
+    return f"WITH f AS {source} " + " UNION ALL ".join(rows)
 
 
 def _describe(source: str, columns: list[str], digits: int | None = 2) -> str:
@@ -218,28 +224,64 @@ def _describe(source: str, columns: list[str], digits: int | None = 2) -> str:
     listed = ", ".join(f"{shown(c)} AS {n}" for n, c in stats.items())
     rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS v FROM src" for c in columns)
     return f"""WITH src AS (SELECT * FROM {source}), long AS ({rows})
-      SELECT feature, count(*)::BIGINT AS count, {listed} FROM long GROUP BY feature"""
+      SELECT feature, count(v)::BIGINT AS count, {listed} FROM long GROUP BY feature"""
 
 
 _KEY = "md5('42:' || id)"
-_RANKED = f"""(SELECT id, label, {_KEY} AS key,
+
+
+def _ranked(source: str) -> str:
+    return f"""(SELECT id, label, {_KEY} AS key,
     row_number() OVER (PARTITION BY label ORDER BY {_KEY}) AS rn,
-    count(*) OVER (PARTITION BY label) AS nk, count(*) OVER () AS n FROM {_links()})"""
-# Test rows per class: the whole part of the share, and one more for the largest fractions.
-_SPLIT = f"""(SELECT r.id, r.label, r.rn <= s.take AS is_test FROM {_RANKED} r JOIN (
+    count(*) OVER (PARTITION BY label) AS nk, count(*) OVER () AS n FROM {source})"""
+
+
+def _split(source: str) -> str:
+    """Test rows per class: the whole part of the share, and one more for the largest fractions."""
+    ranked = _ranked(source)
+    return f"""(SELECT r.id, r.label, r.rn <= s.take AS is_test FROM {ranked} r JOIN (
     SELECT label, floor(share)::BIGINT + (CASE WHEN row_number() OVER (
         ORDER BY share - floor(share) DESC, label) <= n_test - sum(floor(share)) OVER ()
         THEN 1 ELSE 0 END) AS take
     FROM (SELECT label, n_test, n_test * nk / n::DOUBLE AS share FROM (
-        SELECT DISTINCT label, nk, n, ceil(0.2 * n)::BIGINT AS n_test FROM {_RANKED}))) s
+        SELECT DISTINCT label, nk, n, ceil(0.2 * n)::BIGINT AS n_test FROM {ranked}))) s
     ON r.label = s.label)"""
-# Fold sizes come from dealing the label-sorted rows out in turn; folds are runs in hash order.
-_FOLDS = f"""WITH dealt AS (SELECT label, (row_number() OVER (ORDER BY label) - 1) % 5 AS fold
-    FROM {_RANKED}),
+
+
+def _folds(source: str) -> str:
+    """Fold sizes come from dealing the label-sorted rows out in turn; folds are runs in hash order."""
+    ranked = _ranked(source)
+    return f"""(WITH dealt AS (SELECT label, (row_number() OVER (ORDER BY label) - 1) % 5 AS fold
+    FROM {ranked}),
   ends AS (SELECT label, fold, sum(c) OVER (PARTITION BY label ORDER BY fold) AS last
     FROM (SELECT label, fold, count(*) AS c FROM dealt GROUP BY label, fold))
-  SELECT r.id, r.label, min(e.fold)::INT AS fold FROM {_RANKED} r
-  JOIN ends e ON e.label = r.label AND r.rn <= e.last GROUP BY r.id, r.label"""
+  SELECT r.id, r.label, min(e.fold)::INT AS fold FROM {ranked} r
+  JOIN ends e ON e.label = r.label AND r.rn <= e.last GROUP BY r.id, r.label)"""
+
+
+_SPLIT = _split(_links())
+# The training table of the models: a tenth of the labels is wrong.
+_NOISY = f"""(SELECT id, url, CASE WHEN wrong THEN 1 - label ELSE label END AS label, wrong
+  FROM (SELECT *, ('0x' || substr(md5('11:noise:' || id), 1, 8))::BIGINT % 10 = 0 AS wrong
+    FROM {_links()}))"""
+_WIDE = "(SELECT vec_id AS id, (label < 5)::INT AS label FROM embeddings)"
+
+
+def _models(*names: str) -> str:
+    return "(" + " UNION ALL ".join(f"SELECT {_text(n)} AS model" for n in names) + ")"
+
+
+def _run_summary(source: str, *names: str) -> str:
+    return f"""SELECT model, n_train, n_test_0, n_test_1, TRUE AS scores_ok, TRUE AS accuracy_ok,
+      TRUE AS auc_ok, TRUE AS measures_ok FROM {_models(*names)},
+      (SELECT count(*) FILTER (WHERE NOT is_test) AS n_train,
+        count(*) FILTER (WHERE is_test AND label = 0) AS n_test_0,
+        count(*) FILTER (WHERE is_test AND label = 1) AS n_test_1 FROM {_split(source)})"""
+
+
+def _scored_summary(source: str, key: str) -> str:
+    return f"""SELECT {key}, {', '.join(V.FEATURES)}, TRUE AS verdict_ok, TRUE AS confidence_ok,
+      TRUE AS percent_ok FROM {_features(source, key)}"""
 
 
 def _scaled() -> str:
@@ -351,7 +393,12 @@ def oracles() -> dict[str, str]:
           count(*)::BIGINT AS n, count(url)::BIGINT AS with_url FROM {_ODD} GROUP BY url IS NULL""",
         "url_normalise_web": _normalised("url", "https://"),
         "url_normalise_console": _normalised(_TRIMMED, "http://"),
-        "url_risk_flags": _flags(),
+        "url_risk_flags": _flags(features),
+        "url_risk_flags_odd_input": _flags(_features(_ODD, "id")),
+        "url_key_features_odd_input": f"""SELECT id, url_length, num_dots, num_hyphens,
+          {_yes_no('has_https')} AS uses_https, {_yes_no('suspicious_tld')} AS suspicious_tld,
+          {_yes_no('has_ip')} AS has_ip, {_yes_no('has_login')} AS has_login,
+          {_yes_no('has_secure')} AS has_secure FROM {_features(_ODD, 'id')}""",
         "url_key_features": f"""SELECT id, url_length, num_dots, num_hyphens,
           {_yes_no('has_https')} AS uses_https, {_yes_no('suspicious_tld')} AS suspicious_tld,
           {_yes_no('has_ip')} AS has_ip, {_yes_no('has_login')} AS has_login,
@@ -363,7 +410,7 @@ def oracles() -> dict[str, str]:
         "balanced_links": _balanced("orders", "o_orderkey"),
         "balanced_links_short": _balanced("orders", "o_orderkey", False, True),
         "shuffled_links": f"""SELECT *, {_KEY} AS position_key
-          FROM {_links('customer', 'c_custkey')} ORDER BY position_key""",
+          FROM {_links()} ORDER BY position_key""",
         "table_shape": f"SELECT count(*)::BIGINT AS n_rows, 20 AS n_columns FROM {features}",
         "class_counts": f"SELECT label, count(*)::BIGINT AS n FROM {_links()} GROUP BY label",
         "class_filter": f"SELECT * FROM {features} WHERE label = 1",
@@ -372,10 +419,15 @@ def oracles() -> dict[str, str]:
         "describe_line_items": _describe(
             "lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
         ),
+        "describe_with_empty_column": _describe(
+            "(SELECT l_quantity, NULL::DOUBLE AS nothing FROM lineitem)", ["l_quantity", "nothing"]
+        ),
+        "noisy_class_counts": f"""SELECT label, count(*) AS n, count(*) FILTER (WHERE wrong) AS n_wrong
+          FROM {_NOISY} GROUP BY label""",
         "head_features": f"SELECT * FROM {features} ORDER BY id LIMIT 3",
         "first_examples": f"SELECT label, arg_min(url, id) AS url FROM {_links()} GROUP BY label",
         "stratified_split": f"SELECT * FROM {_SPLIT}",
-        "stratified_folds": _FOLDS,
+        "stratified_folds": f"SELECT * FROM {_folds(_links())}",
         "sample_per_class": f"""SELECT id, url, label FROM (SELECT *, row_number() OVER (
           PARTITION BY label ORDER BY md5('99:' || id)) AS rn FROM {_links()}) WHERE rn <= 5""",
         "scaled_features": _scaled(),
@@ -394,13 +446,13 @@ def oracles() -> dict[str, str]:
           AS percent FROM {_SCORED} GROUP BY model""",
         "hit_marks": f"""SELECT model, CASE WHEN prediction = label THEN 'OK' ELSE 'MISS' END AS mark,
           count(*) AS n FROM {_SCORED} GROUP BY ALL""",
-        "verdicts": f"""SELECT label, prediction, score,
+        "verdicts": f"""SELECT model, label, prediction, score,
           CASE WHEN prediction = 1 THEN 'PHISHING' ELSE 'SAFE' END AS verdict,
           CASE WHEN prediction = 1 THEN 'Legitimate' ELSE 'Phishing' END AS page_class,
           round(sure, 9) AS confidence, round(greatest(score, 1 - score), 9) AS top_confidence,
           greatest(0, least(100, trunc(round(sure, 9) * 100)::INT))::INT AS confidence_percent
           FROM (SELECT *, CASE WHEN prediction = 1 THEN score ELSE 1 - score END AS sure
-            FROM {_SCORED} WHERE model = 'by_quantity')""",
+            FROM {_SCORED})""",
         "metric_comparison": " UNION ALL ".join(
             f"SELECT model, '{title}' AS metric, {c} AS value FROM {_METRICS}"
             for c, title in _TITLES.items()
@@ -424,11 +476,43 @@ def oracles() -> dict[str, str]:
         "feature_ranking_top15": f"SELECT * FROM {_SPREAD} ORDER BY importance DESC, position LIMIT 15",
         "feature_ranking_chart": f"""SELECT CASE feature {_SHOWN_NAMES} ELSE feature END AS feature,
           importance, position FROM {_SPREAD} ORDER BY importance, position DESC""",
-        "csv_links": f"SELECT id, url, label FROM {_ODD}",
-        "csv_features": f"SELECT * FROM {features}",
+        "csv_links": f"""SELECT id, label, FALSE AS is_bad, CASE ((id % 5) + 5) % 5
+          WHEN 0 THEN url || chr(10) || chr(13) || chr(10) || '\\n\\\\b,"x"'
+          WHEN 1 THEN '\\N' || url || chr(13)
+          WHEN 2 THEN CASE WHEN id % 7 = 0 THEN '\\N' ELSE url END ELSE url END AS url FROM {_ODD}""",
+        "csv_features": f"SELECT *, FALSE AS is_bad FROM {features}",
+        "csv_features_without_ids": f"""SELECT label, count(*) AS n, count(*) AS n_ids,
+          {', '.join(f'sum({f})::BIGINT AS {f}' for f in V.FEATURES)} FROM {features} GROUP BY label""",
         "json_metrics": f"SELECT * FROM {_METRICS}",
         "json_roc": f"""SELECT model, count(*) AS n, max(rank) AS last_rank,
           round(sum(fpr), 4) AS sum_fpr, round(sum(tpr), 4) AS sum_tpr FROM {_roc()} GROUP BY model""",
+        "logistic_regression_metrics": _run_summary(_NOISY, L.LOGREG),
+        "random_forest_metrics": _run_summary(_NOISY, L.FOREST),
+        "kernel_svm_metrics": _run_summary(_NOISY, L.SVM),
+        "boosted_trees_metrics": _run_summary(_NOISY, L.BOOSTED),
+        "model_comparison": _run_summary(_NOISY, *L.MODEL_ORDER),
+        "wide_table_comparison": _run_summary(_WIDE, *L.MODEL_ORDER),
+        "cross_validation": f"""SELECT model, fold, count(*) AS n, TRUE AS accuracy_ok
+          FROM {_models(*L.MODEL_ORDER)}, {_folds(f'(SELECT * FROM {_split(_NOISY)} WHERE NOT is_test)')}
+          GROUP BY model, fold""",
+        "forest_importance": " UNION ALL ".join(
+            f"SELECT '{L.FOREST}' AS model, '{f}' AS feature, {i} AS position, "
+            f"(SELECT min({f}) != max({f}) FROM {features}) AS varies, "
+            "TRUE AS importance_ok, TRUE AS total_ok, TRUE AS rank_ok"
+            for i, f in enumerate(V.FEATURES)
+        ),
+        "scored_links": _scored_summary(f"({_normalised(_TRIMMED, 'https://')})", "id"),
+        "scored_rejects": f"""SELECT id, url, label, CASE WHEN url IS NULL THEN 'no url'
+          ELSE 'blank url' END AS reason FROM {_ODD} WHERE url IS NULL OR length({_TRIMMED}) = 0""",
+        "stream_scored_links": _scored_summary("(SELECT page_id, url FROM pages)", "page_id"),
+        "stream_rejects": """SELECT page_id, CASE WHEN page_id % 8 = 0 THEN ' ' END AS url,
+          CASE WHEN page_id % 8 = 0 THEN 'blank url' ELSE 'no url' END AS reason
+          FROM pages WHERE page_id % 4 = 0""",
+        "saved_model_retest": f"""SELECT id, label,
+          CASE WHEN label = 1 THEN 'Phishing' ELSE 'Legitimate' END AS actual,
+          TRUE AS predicted_ok, TRUE AS confidence_ok, TRUE AS mark_ok
+          FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('99:' || id)) AS rn
+            FROM {_NOISY}) WHERE rn <= 5""",
         "stream_url_features": f"""SELECT page_id, {names} FROM
           {_features('(SELECT page_id, url FROM pages)', 'page_id')}""",
     }

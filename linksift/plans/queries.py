@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,8 @@ from linksift.operators import split as S
 from linksift.operators.scale import fit_scaler, scaled_names
 from linksift.plans import inputs as I
 from linksift.plans import training
-from linksift.plans.scoring import score_links
-from linksift.session import scratch_path, settled, shared_dir, tune
+from linksift.plans.scoring import score_links, score_rejects
+from linksift.session import numbered, scratch_path, settled
 from linksift.sources import links as G
 from linksift.sources import schemas, tables
 from linksift.streaming.feed import link_stream, run_feed
@@ -29,13 +29,16 @@ from linksift.streaming.feed import link_stream, run_feed
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Settings of the model queries: regression and forest as in a full run, fewer boosting rounds,
-# and a smaller kernel map with fewer steps and folds.
-QUICK = L.Settings(rounds=20, fourier_size=128, svm_iter=15, platt_folds=3)
+# Settings of the model queries: those of a full run. One fit reads at most so many labelled rows;
+# splits, folds, scaling, predictions and scores cover all.
+RUN = replace(L.URL_RUN, fit_rows=20_000, splits=4)
+SCORER = replace(L.APP_RUN, fit_rows=20_000, splits=4)
+# What a model must reach on labels of which a tenth is wrong, to count as trained.
+ACCURACY_FLOOR, AUC_FLOOR = 0.85, 0.8
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = lambda spark, sf_dir: function(tune(spark), sf_dir)
+    QUERIES[function.__name__] = function
     return function
 
 
@@ -90,6 +93,20 @@ def url_key_features(spark, sf):
     return R.key_features(_features(spark, sf), ["id"])
 
 
+def _odd_features(spark, sf):
+    return U.with_url_features(I.odd_links(spark, sf))
+
+
+@query
+def url_risk_flags_odd_input(spark, sf):
+    return R.risk_flags(_odd_features(spark, sf), ["id"])
+
+
+@query
+def url_key_features_odd_input(spark, sf):
+    return R.key_features(_odd_features(spark, sf), ["id"])
+
+
 # --- labelled link tables ------------------------------------------------------------------
 
 
@@ -126,7 +143,7 @@ def balanced_links_short(spark, sf):
 @query
 def shuffled_links(spark, sf):
     order = row_hash(42, F.col("id"))
-    return S.shuffled(I.links(spark, sf, "customer")).withColumn("position_key", order)
+    return S.shuffled(I.links(spark, sf)).withColumn("position_key", order)
 
 
 # --- counts, statistics, small views ---------------------------------------------------------
@@ -164,9 +181,21 @@ def describe_line_items(spark, sf):
     return P.describe(I.table(spark, sf, "lineitem"), columns)
 
 
+@query
+def describe_with_empty_column(spark, sf):
+    items = I.table(spark, sf, "lineitem").withColumn("nothing", F.lit(None).cast("double"))
+    return P.describe(items, ["l_quantity", "nothing"])
+
+
+@query
+def noisy_class_counts(spark, sf):
+    rows = I.train_links(spark, sf)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_wrong").alias("n_wrong"))
+
+
 @query
 def head_features(spark, sf):
-    return P.head(_features(spark, sf), 3)
+    return U.with_url_features(P.head(I.links(spark, sf), 3)).drop("url")
 
 
 @query
@@ -194,7 +223,7 @@ def sample_per_class(spark, sf):
 
 @query
 def scaled_features(spark, sf):
-    parted = S.stratified_split(_features(spark, sf))
+    parted = S.stratified_split(settled(_features(spark, sf)))
     scaler = fit_scaler(parted.filter(~F.col("is_test")), V.FEATURES)
     names = scaled_names(V.FEATURES)
     return scaler.transform(parted).select(
@@ -241,8 +270,13 @@ def roc_auc_other_polarity(spark, sf):
 
 
 def _metrics(spark, sf):
+    """All measures from one scan: counts by model, fold and score, summed up as needed."""
     rows = I.scored(spark, sf)
-    return E.evaluate(rows).join(E.cv_summary(_fold_accuracy(rows)), "model")
+    by_fold = E.score_counts(rows, ("model", "fold"))
+    counts = by_fold.groupBy("model", "score").agg(*[F.sum(c).alias(c) for c in E.CELLS])
+    right, every = F.sum(F.col("c00") + F.col("c11")), F.sum(sum(F.col(c) for c in E.CELLS))
+    folds = by_fold.groupBy("model", "fold").agg((right / every).alias("accuracy"))
+    return E.evaluate(rows, counts=settled(counts)).join(E.cv_summary(folds), "model")
 
 
 def _fold_accuracy(rows: DataFrame) -> DataFrame:
@@ -283,11 +317,11 @@ def hit_marks(spark, sf):
 
 @query
 def verdicts(spark, sf):
-    rows = I.scored(spark, sf).filter("model = 'by_quantity'")
+    rows = I.scored(spark, sf)
     p, s = F.col("prediction"), F.col("score")
     sure = R.confidence(p, s)
     return rows.select(
-        "label", "prediction", "score",
+        "model", "label", "prediction", "score",
         R.class_name(p).alias("verdict"),
         R.class_name(p, "Legitimate", "Phishing").alias("page_class"),
         F.round(sure, 9).alias("confidence"),
@@ -328,16 +362,12 @@ def metric_cards(spark, sf):
 def _spread(spark, sf):
     """Each feature's share of the summed deviations: a ranking that SQL can check."""
     stats = P.describe(_features(spark, sf), V.FEATURES, digits=None)
-    total = stats.agg(F.sum("std").alias("total"), F.lit(1).alias("k"))
+    total = F.sum("std").over(Window.partitionBy())  # over 18 rows
     place = (F.array_position(F.lit(V.FEATURES), F.col("feature")) - 1).cast("int")
-    return (
-        stats.withColumn("k", F.lit(1))
-        .join(total, "k")
-        .select(
-            "feature",
-            F.round(F.col("std") / F.col("total"), 6).alias("importance"),
-            place.alias("position"),
-        )
+    return stats.select(
+        "feature",
+        F.round(F.col("std") / total, 6).alias("importance"),
+        place.alias("position"),
     )
 
 
@@ -362,9 +392,9 @@ def feature_ranking_chart(spark, sf):
 @query
 def csv_links(spark, sf):
     path = scratch_path(spark, "links")
-    tables.write_csv(I.odd_links(spark, sf), path)
-    good, _ = tables.split_bad_rows(tables.read_csv(spark, path, schemas.LINKS))
-    return good
+    tables.write_csv(I.broken_links(spark, sf), path)
+    rows = tables.read_csv(spark, path, schemas.LINKS)
+    return rows.withColumn("is_bad", F.col(tables.BAD_ROW).isNotNull()).drop(tables.BAD_ROW)
 
 
 @query
@@ -372,8 +402,21 @@ def csv_features(spark, sf):
     path = scratch_path(spark, "features")
     columns = [f.name for f in schemas.LINK_FEATURES]
     tables.write_csv(_features(spark, sf).select(*columns), path)
-    good, _ = tables.split_bad_rows(tables.read_csv(spark, path, schemas.LINK_FEATURES))
-    return good
+    rows = tables.read_csv(spark, path, schemas.LINK_FEATURES)
+    return rows.withColumn("is_bad", F.col(tables.BAD_ROW).isNotNull()).drop(tables.BAD_ROW)
+
+
+@query
+def csv_features_without_ids(spark, sf):
+    path = scratch_path(spark, "plain-features")
+    tables.write_csv(_features(spark, sf).select(*schemas.PLAIN_FEATURES.names), path)
+    good, bad = tables.split_bad_rows(tables.read_csv(spark, path, schemas.PLAIN_FEATURES))
+    rows = numbered(good)
+    return rows.groupBy("label").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("id").alias("n_ids"),
+        *[F.sum(f).alias(f) for f in V.FEATURES],
+    )
 
 
 @query
@@ -426,11 +469,11 @@ def stream_url_features(spark, sf):
 
 
 def _train_features(spark, sf):
-    return U.with_url_features(I.train_links(spark, sf)).drop("url")
+    return settled(U.with_url_features(I.train_links(spark, sf).drop("is_wrong")).drop("url"))
 
 
 def _only(*names: str) -> L.Settings:
-    return replace(QUICK, models=list(names))
+    return replace(RUN, models=list(names))
 
 
 def _kept(run: training.Comparison, result: DataFrame) -> DataFrame:
@@ -440,9 +483,33 @@ def _kept(run: training.Comparison, result: DataFrame) -> DataFrame:
     return result
 
 
+def _within(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.coalesce(value.between(low, high), F.lit(False))
+
+
+def _run_summary(run: training.Comparison, floor=ACCURACY_FLOOR, auc_floor=AUC_FLOOR) -> DataFrame:
+    """Sizes of a run per model, and whether what was learned keeps its bounds and floors."""
+    counts = E.score_counts(run.predictions)
+    metrics = training.metrics_table(run, counts=counts)
+    cell = lambda a, p: F.col("confusion_matrix")[a][p]
+    scores = counts.groupBy("model").agg(
+        F.min("score").alias("lowest"), F.max("score").alias("highest")
+    )
+    return metrics.join(scores, "model").select(
+        "model",
+        F.lit(run.n_train).cast("long").alias("n_train"),
+        (cell(0, 0) + cell(0, 1)).alias("n_test_0"),
+        (cell(1, 0) + cell(1, 1)).alias("n_test_1"),
+        (_within(F.col("lowest")) & _within(F.col("highest"))).alias("scores_ok"),
+        (F.col("accuracy") >= floor).alias("accuracy_ok"),
+        (F.col("auc_roc") >= auc_floor).alias("auc_ok"),
+        F.least(*[_within(F.col(c)) for c in E.SCORES]).alias("measures_ok"),
+    )
+
+
 def _model_metrics(spark, sf, *names):
     run = training.compare(_train_features(spark, sf), _only(*names))
-    return _kept(run, training.metrics_table(run))
+    return _kept(run, _run_summary(run))
 
 
 @query
@@ -467,58 +534,115 @@ def boosted_trees_metrics(spark, sf):
 
 @query
 def model_comparison(spark, sf):
-    run = training.compare(_train_features(spark, sf), QUICK)
-    return _kept(run, training.metrics_table(run))
+    return _model_metrics(spark, sf, *L.MODEL_ORDER)
 
 
 @query
 def cross_validation(spark, sf):
-    run = training.compare(_train_features(spark, sf), _only(L.LOGREG, L.FOREST))
-    folds = training.cross_validate(run.train, _only(L.LOGREG, L.FOREST))
-    return _kept(run, E.cv_summary(folds))
+    run = training.compare(_train_features(spark, sf), _only(L.LOGREG))
+    folds = training.cross_validate(run.train, RUN)
+    return _kept(
+        run,
+        folds.select(
+            "model",
+            F.col("fold").cast("int").alias("fold"),
+            "n",
+            (F.col("accuracy") >= ACCURACY_FLOOR).alias("accuracy_ok"),
+        ),
+    )
 
 
 @query
 def forest_importance(spark, sf):
-    run = training.compare(_train_features(spark, sf), _only(L.FOREST))
+    df = _train_features(spark, sf)
+    run = training.compare(df, _only(L.FOREST))
     run.release()
-    return R.ranked_importance(training.importance_table(spark, run))
+    several = df.agg(*[(F.min(f) != F.max(f)).alias(f) for f in V.FEATURES])
+    several = several.unpivot([], V.FEATURES, "feature", "varies")
+    every = R.ranked_importance(training.importance_table(spark, run)).join(several, "feature")
+    whole = Window.partitionBy()  # over 18 rows
+    by_size = Window.orderBy(F.col("importance").desc(), "position")
+    return every.select(
+        "model",
+        "feature",
+        "position",
+        "varies",
+        (_within(F.col("importance")) & (F.col("varies") | (F.col("importance") == 0))).alias("importance_ok"),
+        _within(F.sum("importance").over(whole), 1 - 1e-9, 1 + 1e-9).alias("total_ok"),
+        (F.row_number().over(by_size) == F.col("rank")).alias("rank_ok"),
+    )
 
 
 @query
 def wide_table_comparison(spark, sf):
-    run = training.compare(
-        I.wide_table(spark, sf), _only(L.LOGREG, L.FOREST), label="CLASS_LABEL"
-    )
-    return _kept(run, training.metrics_table(run, positive_class=1))
+    run = training.compare(I.wide_table(spark, sf), RUN, label="CLASS_LABEL")
+    # The labels of this table are noise, so only the bounds can be held.
+    return _kept(run, _run_summary(run, 0.0, 0.0))
 
 
 def _scorer(spark, sf):
-    """The URL model of the scorers: a forest over all rows of the training table."""
-    df = _train_features(spark, sf)
-    shared_dir(spark)
+    """The URL model of the scorers: the app's forest over the links, whose labels are right."""
+    df = settled(_features(spark, sf))
     preparation = training.fit_preparation(df, V.FEATURES)
-    forest = L.random_forest(QUICK).fit(preparation.transform(df).select("features", "label"))
-    return training.whole_model(preparation, forest)
+    table = preparation.transform(df).select("id", "label", "features")
+    table = table.repartition(SCORER.splits, "id").sortWithinPartitions("id")
+    rows, _ = training.fit_rows(settled(table), df.count(), SCORER)
+    return training.whole_model(preparation, L.random_forest(SCORER).fit(rows))
+
+
+def _scored_summary(scored: DataFrame, *keys: str) -> DataFrame:
+    """Keys and features of scored links, and whether verdict and confidence agree."""
+    sure, score = F.col("confidence"), F.col("probability")
+    named = F.when(F.col("prediction") == "PHISHING", score).when(F.col("prediction") == "SAFE", 1 - score)
+    return scored.select(
+        *keys,
+        *V.FEATURES,
+        F.coalesce(named == sure, F.lit(False)).alias("verdict_ok"),
+        _within(sure, 0.5, 1.0).alias("confidence_ok"),
+        (F.col("confidence_percent") == F.floor(sure * 100)).alias("percent_ok"),
+    )
 
 
 @query
 def scored_links(spark, sf):
-    return score_links(I.odd_links(spark, sf), _scorer(spark, sf))
+    return _scored_summary(score_links(I.odd_links(spark, sf), _scorer(spark, sf)), "id")
+
+
+@query
+def scored_rejects(spark, sf):
+    return score_rejects(I.odd_links(spark, sf))
 
 
 @query
 def stream_scored_links(spark, sf):
     model = _scorer(spark, sf)
-    return _feed(spark, sf, lambda df: score_links(df, model))
+    return _scored_summary(_feed(spark, sf, lambda df: score_links(df, model)), "page_id")
+
+
+@query
+def stream_rejects(spark, sf):
+    """Rejects of a feed in which every fourth link is blank or missing."""
+    gap = F.when(F.col("page_id") % 4 == 0, F.when(F.col("page_id") % 8 == 0, " ")).otherwise(F.col("url"))
+    return _feed(spark, sf, lambda df: score_rejects(df.withColumn("url", gap)))
 
 
 @query
 def saved_model_retest(spark, sf):
     df = _train_features(spark, sf)
-    run = training.compare(df, _only(L.LOGREG, L.FOREST))
+    run = training.compare(df, RUN)
     path = scratch_path(spark, "results")
-    best = training.save_results(spark, run, training.metrics_table(run), path)
+    counts = E.score_counts(run.predictions)
+    best = training.save_results(spark, run, training.metrics_table(run, counts=counts), path, counts)
     run.release()
     model = training.load_model(f"{path}/model")
-    return training.retest(model, best, df, class_names=("Legitimate", "Phishing"))
+    names = ("Legitimate", "Phishing")
+    again = training.retest(model, best, df, class_names=names)
+    mark = F.when(F.col("actual") == F.col("predicted"), "OK").otherwise("MISS")
+    return again.select(
+        "id",
+        "label",
+        "actual",
+        (F.col("predicted") == F.when(F.col("prediction") == 1, names[1]).otherwise(names[0])).alias("predicted_ok"),
+        _within(F.col("confidence"), 0.5, 1.0).alias("confidence_ok"),
+        (F.col("mark") == mark).alias("mark_ok"),
+    )

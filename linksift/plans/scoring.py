@@ -6,12 +6,19 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linksift.functions.urls import split_rejects, typed_urls, with_url_features
+from linksift.functions.urls import BLANKS, split_rejects, typed_urls, with_url_features
 from linksift.functions.vocabulary import FEATURES
 from linksift.operators import learners as L
 from linksift.operators import report as R
 
 
+def score_rejects(df: DataFrame, strip: bool = True, url: str = "url") -> DataFrame:
+    """The rows that ``score_links`` leaves out, with the reason; the same for a table and a stream."""
+    text = F.trim(F.col(url), F.lit(BLANKS)) if strip else F.col(url)
+    reason = F.when(F.col(url).isNull(), "no url").when(F.length(text) == 0, "blank url")
+    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def score_links(
     df: DataFrame,
     model: PipelineModel,
@@ -23,7 +30,7 @@ def score_links(
 ) -> DataFrame:
     """Normalise, extract, predict: url, features, verdict, confidence and whole percent.
 
-    Null URLs are never scored; ``split_rejects`` gives them. The plan is the same for a
+    Null and blank URLs are never scored; ``score_rejects`` gives them. The plan is the same for a
     static table and a stream: map-only, no state.
     """
     good, _ = split_rejects(df, url)

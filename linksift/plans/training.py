@@ -21,10 +21,6 @@ from linksift.session import settled, shared_dir
 from linksift.sources import tables
 
 
-# Below this a task of an iterative fit spends its time on starting up.
-ROWS_PER_TASK = 10_000
-
-
 def feature_columns(df: DataFrame, label: str = "label", id_col: str = "id") -> list[str]:
     """Every column but the id and the label, in table order."""
     return [c for c in df.columns if c not in (label, id_col)]
@@ -37,13 +33,12 @@ def _run(spark: SparkSession, jobs: Iterable[Callable], parallel: int) -> list:
         return pool.map(lambda job: job(), jobs)
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
-    """Merge tiny partitions before an iterative fit, whose every step starts one task per split.
-
-    Splits that hold ``ROWS_PER_TASK`` rows or more on average are left alone.
-    """
-    wanted = -(-max(rows, 1) // ROWS_PER_TASK)
-    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+def fit_rows(df: DataFrame, rows: int, settings: L.Settings) -> tuple[DataFrame, int]:
+    """The rows that one fit reads, and their number: all, or as many as the settings allow."""
+    if settings.fit_rows is None or rows <= settings.fit_rows:
+        return df, rows
+    part = stratified_split(df, fraction=settings.fit_rows / rows, seed=settings.seed, out="_fit")
+    return part.filter("_fit").drop("_fit"), settings.fit_rows
 
 
 def fit_preparation(train: DataFrame, features: list[str]) -> PipelineModel:
@@ -79,6 +74,7 @@ class Comparison:
     train: DataFrame
     test: DataFrame
     predictions: DataFrame
+    n_train: int
     cached: list[DataFrame]
 
     def scorer(self, name: str) -> PipelineModel:
@@ -104,29 +100,33 @@ def compare(
     parted = stratified_split(table, seed=settings.seed)
     preparation = fit_preparation(parted.filter(~F.col("is_test")), features)
     # Cached once; train and test are filters of it, and the learners block their own input.
-    ready = preparation.transform(parted).select("id", "label", "is_test", "features").persist()
+    ready = preparation.transform(parted).select("id", "label", "is_test", "features")
+    ready = ready.repartition(settings.splits, "id").sortWithinPartitions("id").persist()
     train = ready.filter(~F.col("is_test")).drop("is_test")
     test = ready.filter("is_test").drop("is_test")
     n = train.count()
-    train = packed(train, n)
     fits = L.fitters(settings)
-    fitted = _run(spark, [lambda fit=fit: fit(train, n) for fit in fits.values()], parallel)
+    chosen = fit_rows(train, n, settings)
+    fitted = _run(spark, [lambda fit=fit: fit(*chosen) for fit in fits.values()], parallel)
     models = dict(zip(fits, fitted))
     predictions = predict_all(test, models, ["id", "label"]).persist()
-    return Comparison(features, preparation, models, train, test, predictions, [ready, predictions])
+    return Comparison(
+        features, preparation, models, train, test, predictions, n, [ready, predictions]
+    )
 
 
 def cross_validate(
     train: DataFrame, settings: L.Settings, folds: int = 5, parallel: int = 4
 ) -> DataFrame:
-    """Fold accuracies (model, fold, accuracy) on the scaled train rows."""
+    """Fold accuracies (model, fold, accuracy, n) on the scaled train rows."""
     parted = stratified_folds(train, folds, seed=settings.seed).persist()
     sizes = {r["fold"]: r["count"] for r in parted.groupBy("fold").count().collect()}
     total = sum(sizes.values())
     fits = L.fitters(settings)
 
     def job(fold: int, fit: Callable):
-        return lambda: fit(parted.filter(F.col("fold") != fold), total - sizes[fold])
+        others = parted.filter(F.col("fold") != fold).drop("fold")
+        return lambda: fit(*fit_rows(others, total - sizes[fold], settings))
 
     keys = [(fold, name) for fold in sorted(sizes) for name in fits]
     fitted = dict(
@@ -144,7 +144,8 @@ def cross_validate(
     for part in held_out[1:]:
         together = together.unionByName(part)
     right = (F.col("prediction") == F.col("label")).cast("double")
-    accuracy = settled(together.groupBy("model", "fold").agg(F.avg(right).alias("accuracy")))
+    scored = together.groupBy("model", "fold")
+    accuracy = settled(scored.agg(F.avg(right).alias("accuracy"), F.count("*").alias("n")))
     parted.unpersist()
     return accuracy
 
@@ -160,22 +161,35 @@ def importance_table(spark: SparkSession, comparison: Comparison) -> DataFrame:
 
 
 def metrics_table(
-    comparison: Comparison, fold_scores: DataFrame | None = None, positive_class: int = 1
+    comparison: Comparison,
+    fold_scores: DataFrame | None = None,
+    positive_class: int = 1,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per model, with CV columns where fold scores are given."""
-    metrics = E.evaluate(comparison.predictions, positive_class)
+    metrics = E.evaluate(comparison.predictions, positive_class, counts)
     if fold_scores is None:
         return metrics
     return metrics.join(E.cv_summary(fold_scores), "model", "left")
 
 
 def save_results(
-    spark: SparkSession, comparison: Comparison, metrics: DataFrame, path: str
+    spark: SparkSession,
+    comparison: Comparison,
+    metrics: DataFrame,
+    path: str,
+    counts: DataFrame | None = None,
 ) -> str:
-    """Results as JSON lines and the best model as one folder; returns the best name."""
-    shown = E.roc_curve(comparison.predictions)
+    """Results as JSON lines and the best model as one folder; returns the best name.
+
+    ``counts`` (of ``E.score_counts``) spares a second pass over the predictions.
+    """
+    metrics = settled(metrics)
+    curve = E.roc_curve(comparison.predictions, counts=counts)
     tables.write_json(metrics, f"{path}/metrics")
-    tables.write_json(shown, f"{path}/roc")
+    # One row per model at most: the area goes with every point of its curve.
+    areas = F.broadcast(metrics.select("model", "auc_roc"))
+    tables.write_json(curve.join(areas, "model"), f"{path}/roc")
     if L.FOREST in comparison.models:
         ranked = importance_table(spark, comparison).drop("position")
         tables.write_json(ranked, f"{path}/importance")
@@ -189,11 +203,13 @@ def save_results(
 
 
 def load_model(path: str) -> PipelineModel:
-    """The saved model, or a clear error."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as error:
-        raise FileNotFoundError(f"no trained model at {path}; train and save one first") from error
+    """The saved model, or a clear error if there is none; other faults come through."""
+    spark = SparkSession.active()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        raise FileNotFoundError(f"no trained model at {path}; train and save one first")
+    return PipelineModel.load(path)
 
 
 def model_features(model: PipelineModel) -> list[str]:

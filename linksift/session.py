@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
-# HotSpot leaves methods above this many bytes interpreted, several times slower than compiled.
+# HotSpot leaves methods above this many bytes interpreted. Long projections (18 features over a
+# built URL) pass that size; with this limit Spark splits them, measured at twice the speed.
 JIT_LIMIT = 8000
 
 
@@ -35,27 +37,6 @@ def local_session(cpus: int | str = "*", app: str = "linksift", **conf: str) ->
     return builder.getOrCreate()
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Make Spark split a stage whose generated method the JVM would not compile.
-
-    Long projections (18 features over a built URL) pass that size; measured at twice the speed.
-    A smaller limit set by the cluster is kept.
-    """
-    if int(spark.conf.get(METHOD_LIMIT, "65535")) > JIT_LIMIT:
-        spark.conf.set(METHOD_LIMIT, str(JIT_LIMIT))
-    return spark
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small scan out to all cores before heavy per-row work.
-
-    Meant for tables as read. One with at least one split per core, as any large one has, is
-    left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -86,6 +67,20 @@ def numbered(df: DataFrame, id_col: str = "id") -> DataFrame:
     return settled(df.withColumn(id_col, F.monotonically_increasing_id()))
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/linksift/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/linksift/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    for spark, path in _SCRATCH:
+        context = spark.sparkContext
+        if context._jsc is not None:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

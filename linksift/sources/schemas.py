@@ -14,6 +14,7 @@ PLAIN_LINKS = _struct(url=T.StringType(), label=T.IntegerType())
 LINK_FEATURES = _struct(
     id=T.LongType(), **{f: T.IntegerType() for f in FEATURES}, label=T.IntegerType()
 )
+PLAIN_FEATURES = T.StructType([f for f in LINK_FEATURES if f.name != "id"])
 PAGES = _struct(
     id=T.LongType(), **{f: T.DoubleType() for f in PAGE_FEATURES}, CLASS_LABEL=T.IntegerType()
 )
@@ -30,6 +31,7 @@ METRICS = _struct(
 )
 ROC = _struct(
     model=T.StringType(),
+    auc_roc=T.DoubleType(),
     rank=T.LongType(),
     threshold=T.DoubleType(),
     fpr=T.DoubleType(),

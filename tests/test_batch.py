@@ -59,3 +59,47 @@ def test_page_table_run(spark, tmp_path):
     assert training.model_features(model) == PAGE_FEATURES
     top = spark.read.json(f"{results}/importance").orderBy("rank").limit(2)
     assert {r["feature"] for r in top.collect()} == {"UrlLength", "HostnameLength"}
+
+
+def test_rows_that_cannot_train_are_kept_apart(spark, tmp_path):
+    links, features, results = (str(tmp_path / n) for n in ("links", "features", "results"))
+    batch.build_links(spark.range(60), links)
+    batch.build_features(spark, links, features)
+    lines = [r["value"] for r in spark.read.text(features).collect()]
+    head = next(x for x in lines if x.startswith("id,"))
+    rows = [x for x in lines if x != head]
+    broken = ["x" + rows[0], rows[1].rsplit(",", 1)[0] + ",\\N"]
+    file = tmp_path / "features.csv"
+    file.write_text("\n".join([head, *rows[2:], *broken]) + "\n")
+    batch.train(spark, str(file), results, QUICK, folds=2)
+    told = spark.read.json(f"{results}-rejects").collect()
+    assert sorted(r["reason"] for r in told) == ["incomplete", "unreadable"]
+    curve = tables.read_json(spark, f"{results}/roc", schemas.ROC)
+    assert curve.filter("auc_roc is null").count() == 0 < curve.count()
+
+
+def test_features_without_ids_can_train(spark, tmp_path):
+    links, features, results = (str(tmp_path / n) for n in ("links", "features", "results"))
+    batch.build_links(spark.range(60), links)
+    batch.build_features(spark, links, features)
+    plain = str(tmp_path / "plain")
+    rows, _ = tables.split_bad_rows(tables.read_csv(spark, features, schemas.LINK_FEATURES))
+    tables.write_csv(rows.drop("id"), plain)
+    assert batch.train(spark, plain, results, QUICK, folds=2, has_ids=False) in QUICK.models
+
+
+def test_a_fit_does_not_depend_on_the_splits_of_its_input(spark):
+    rows = spark.range(400).selectExpr("id", "cast(id % 7 as double) as a", "cast(id % 5 as double) as b", "cast((id % 7 + id % 3) % 2 as int) as label")
+    settings = replace(QUICK, models=[L.FOREST], splits=3)
+    found = set()
+    for splits in (1, 3, 8):
+        run = training.compare(rows.repartition(splits), settings)
+        found.add(tuple(run.models[L.FOREST].featureImportances.toArray()))
+        run.release()
+    assert len(found) == 1
+
+
+def test_a_fit_reads_at_most_fit_rows(spark):
+    rows = spark.range(300).selectExpr("id", "cast(id % 3 = 0 as int) as label")
+    part, n = training.fit_rows(rows, 300, replace(QUICK, fit_rows=90))
+    assert n == part.count() == 90 and part.filter("label = 1").count() == 30

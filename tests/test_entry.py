@@ -2,14 +2,24 @@
 
 import math
 from collections import Counter
+from dataclasses import replace
 from pathlib import Path
 
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from linksift.plans import queries
+from linksift.plans.oracles import oracles
 
-ORACLES = entry.oracle_sql()
+ORACLES = oracles()
+
+
+@pytest.fixture(autouse=True)
+def short_fits(monkeypatch):
+    """What the rows of the model queries say does not depend on how long the fits are."""
+    small = dict(trees=20, tree_depth=8, rounds=4, boost_depth=4, fourier_size=64, svm_iter=10, max_iter=100)
+    for name in ("RUN", "SCORER"):
+        monkeypatch.setattr(queries, name, replace(getattr(queries, name), **small))
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +38,7 @@ def plain(value):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, data, duck, name):
-    df = entry.queries()[name](spark, data)
+    df = queries.QUERIES[name](spark, data)
     columns = sorted(df.columns)
     have = Counter(tuple(plain(row[c]) for c in columns) for row in df.collect())
     result = duck.execute(ORACLES[name])
@@ -41,6 +51,8 @@ def test_query_equals_sql(spark, data, duck, name):
 
 
 def test_flagship(spark):
+    import __spark_entry__ as entry
+
     df = entry.entry(spark)
     assert df.columns == ["id", "feature", "value", "severity"]
     assert df.count() > 0

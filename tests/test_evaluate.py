@@ -143,3 +143,18 @@ def test_report_texts_round_like_printf(spark):
     assert fine == [f"{v:.4f}" for v in values]
     bars = spark.createDataFrame([(v,) for v in (-0.2, 0.999, 0.125, 1.3)], "v double")
     assert [r[0] for r in bars.select(R.percent_bar(F.col("v"))).collect()] == [0, 99, 12, 100]
+
+
+@pytest.mark.parametrize("label, prediction", [(2, 1), (None, 1), (1, None), (0, 3)])
+def test_labels_and_predictions_are_zero_or_one(spark, label, prediction):
+    rows = [("m", 1, 1, 0.5), ("m", label, prediction, 0.5)]
+    df = spark.createDataFrame(rows, "model string, label int, prediction int, score double")
+    with pytest.raises(Exception, match="not 0 or 1"):
+        E.confusion(df).collect()
+
+
+def test_null_is_not_judged(spark):
+    df = spark.createDataFrame([(None, None, None)], "prediction int, label int, score double")
+    p, y, s = F.col("prediction"), F.col("label"), F.col("score")
+    told = df.select(R.class_name(p), R.hit_mark(p, y), R.confidence(p, s), R.yes_no(p)).first()
+    assert tuple(told) == (None,) * 4

@@ -56,6 +56,29 @@ def test_csv_keeps_odd_text(spark, tmp_path):
     assert sorted(map(tuple, good.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_csv_rows_are_lines_whatever_the_text(spark, tmp_path):
+    urls = ["a\nb", "\r", "\n\n", "\\N", "\\n", "\\\n", "\\b\\", 'x",\n"y', "\\r\r\\\\n"]
+    df = spark.createDataFrame([(i, u, 0) for i, u in enumerate(urls)], schemas.LINKS).coalesce(1)
+    path = str(tmp_path / "links")
+    tables.write_csv(df, path)
+    assert spark.read.text(path).count() == len(urls) + 1
+    rows = tables.read_csv(spark, path, schemas.LINKS)
+    assert sorted(map(tuple, tables.split_bad_rows(rows)[0].collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_results_kept_as_one_object(spark, tmp_path):
+    file = tmp_path / "metrics.json"
+    file.write_text('{"A": {"accuracy": 0.5, "f1_score": 1.0},\n "B": {"accuracy": 0.25}}')
+    rows = tables.read_named(spark, str(file), "accuracy double, f1_score double").collect()
+    assert sorted(map(tuple, rows), key=str) == [("A", 0.5, 1.0), ("B", 0.25, None)]
+
+
+def test_describe_reports_a_column_without_values(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    got = {r["feature"]: tuple(r)[1:] for r in P.describe(df, ["a", "b"]).collect()}
+    assert got == {"a": (2, 2.0, 1.41, 1.0, 1.5, 2.0, 2.5, 3.0), "b": (0, *[None] * 7)}
+
+
 def test_bad_rows_are_kept_apart(spark, tmp_path):
     file = tmp_path / "links.csv"
     file.write_text("id,url,label\n1,http://a,0\nx,http://b,1\n3,http://c,1\n4,too,1,many\n")

@@ -70,11 +70,12 @@ def test_sample_takes_the_lowest_hashes(spark):
     assert len(few) == 3
 
 
-def test_repeated_ids_are_an_error_only_where_they_matter(spark):
+@pytest.mark.parametrize("sorted_rows", [2, 100_000])
+def test_repeated_ids_share_their_part(spark, sorted_rows):
     twice = table(spark, 50).unionByName(table(spark, 50))
     copies = twice.withColumn("id", F.when(F.col("id") < 40, F.lit(7)).otherwise(F.col("id")))
-    with pytest.raises(ValueError, match="not unique"):
-        S.stratified_split(copies, sorted_rows=2).collect()
+    parts = S.stratified_split(copies, sorted_rows=sorted_rows).groupBy("id", "label")
+    assert {r["n"] for r in parts.agg(F.count_distinct("is_test").alias("n")).collect()} == {1}
     with pytest.raises(ValueError, match="have no label"):
         S.stratified_split(table(spark, 9).withColumn("label", F.lit(None).cast("int")))
 
