@@ -9,9 +9,11 @@ hashes. Sketches are banded: two sets at similarity 0.8 miss all 32 bands of fou
 probability 5e-8.
 
 Texts that are equal form one class first. Within a bucket of a band, classes are linked to one
-centre instead of to each other; a link counts once the full sets confirm it. Classes of a bucket
-that are in different components after that are compared in further rounds, at last in all pairs,
-so no candidate link between different components is left out.
+centre instead of to each other; a link counts once the full sets confirm it. The centre is the class
+that meets most others over all its buckets: where many copies of a text drift apart, that is the text
+itself, which is closer to each of them than they are to each other. Classes of a bucket that are in
+different components after that are compared in further rounds with other centres, at last in all
+pairs, so no candidate link between different components is left out.
 
 A document without words has no set and is linked with nothing; its component is itself. A null
 doc_id is no candidate for the smallest id; a component without any id has none, and its rows are
@@ -158,9 +160,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, simila
 
 
 def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, class, n, label) of the buckets whose classes lie in different components."""
+    """(bucket, class, n, degree, label) of the buckets whose classes lie in different components."""
     found = members.join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
-    found = found.select("bucket", "class", "n", F.coalesce("component", "class").alias("label"))
+    label = F.coalesce("component", "class").alias("label")
+    found = found.select("bucket", "class", "n", "degree", label)
     ends = found.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
     return found.join(ends.select("bucket"), "bucket", "left_semi")
 
@@ -177,7 +180,9 @@ def class_links(sketches: DataFrame, docs: DataFrame, shingle: int = SHINGLE, si
     classes = settle(first, "classes")
     members = classes.select("class", "n", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = settle(members.join(shared.select("bucket"), "bucket", "left_semi"), "members")
+    met = settle(members.join(shared, "bucket"), "met")
+    degrees = met.groupBy("class").agg(F.sum("size").alias("degree"))
+    members = settle(met.drop("size").join(degrees, "class"), "members")
 
     # The texts of classes that share a bucket, from one of their documents.
     wanted = classes.join(members.select("class").distinct(), "class", "left_semi").select(
@@ -206,8 +211,9 @@ def class_links(sketches: DataFrame, docs: DataFrame, shingle: int = SHINGLE, si
         if last:
             met = side("a").join(side("b"), "bucket").where("a < b and label_a != label_b")
         else:
-            draw = F.struct(F.xxhash64(F.lit(turn), "class").alias("draw"), "class", "n", "label")
-            centre = mixed_now.groupBy("bucket").agg(F.min(draw).alias("c"))
+            worth = F.xxhash64(F.lit(turn), "class") if turn else F.col("degree")
+            each = F.struct(worth.alias("worth"), "class", "n", "label")
+            centre = mixed_now.groupBy("bucket").agg(F.max(each).alias("c"))
             centre = centre.select("bucket", F.col("c.class").alias("b"), F.col("c.n").alias("n_b"), F.col("c.label").alias("label_b"))
             met = side("a").join(centre, "bucket").where("label_a != label_b")
         pairs = met.where(_near_in_size(similar)).select("a", "b").distinct()
