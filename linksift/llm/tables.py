@@ -22,10 +22,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table once as Parquet and return it as read from there.
 
-    Later passes neither repeat the work nor depend on the executor that did it.
+    Later passes neither repeat the work nor depend on the executor that did it. What the write
+    has shuffled is garbage then; collecting it on the driver lets Spark free the executors' disks.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
