@@ -42,7 +42,7 @@ BLOCK_BYTES = 1 << 20
 CHUNK = 1 << 20
 PLACE_BITS = 21
 #: A side of a join is broadcast only up to so many rows or list entries.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 FACTOR = 0x9E3779B97F4A7C15
 
 
