@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def number_within(
