@@ -1,6 +1,7 @@
 """Near-duplicate documents: fast similarity sketches, banding, exact verification, components.
 
-A document's set holds its shingles of ``SHINGLE`` words (A-Z lower-cased). Its sketch has ``BINS``
+A document's set holds its shingles of ``SHINGLE`` words (A-Z lower-cased), of ``STAGE_SHINGLE``
+where near-duplicates are dropped. Its sketch has ``BINS``
 coordinates: in round 0, 1, ... every element is thrown into one bin by that round's hash, and a bin
 keeps the smallest (round, hash) it has seen; from round ``BINS`` on, round BINS + i throws all
 elements into bin i. So every coordinate is filled after at most 2 * BINS rounds, usually after one,
@@ -35,6 +36,8 @@ from linksift.llm.components import components
 from linksift.llm.tables import settle
 
 SHINGLE = 4
+#: Words of a shingle where documents are dropped; op7 lists components by SHINGLE.
+STAGE_SHINGLE = 5
 BINS = 128
 ROWS = 4
 SIMILAR = 80
@@ -225,9 +228,9 @@ def class_links(sketches: DataFrame, docs: DataFrame, shingle: int = SHINGLE, si
     return labels
 
 
-def without_near_duplicates(docs: DataFrame, columns: list[str]) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, columns: list[str], shingle: int = STAGE_SHINGLE) -> DataFrame:
     """``columns`` of the documents that are kept."""
-    judged = near_duplicates(docs)
+    judged = near_duplicates(docs, shingle)
     gone = settle(judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("class").alias("_of")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_doc"), class_of().alias("_class"))

@@ -86,7 +86,7 @@ def op6_url_templates(spark, sf):
 
 @query
 def op7_near_duplicates(spark, sf):
-    return near_dedup.near_duplicates(table(spark, sf, "documents")).drop("class")
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), shingle=4).drop("class")
 
 
 @query

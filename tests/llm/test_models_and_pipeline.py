@@ -186,6 +186,16 @@ def test_pipeline_stages(spark, docs, pairs, tmp_path):
     assert {r.doc_id for r in packed} == {r.doc_id for r in rows}
 
 
+def test_near_dedup_stage_takes_five_words(spark):
+    """One word in 40 changed: similar by sets of four words, not by sets of five."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join("new" if i % 40 == 20 else w for i, w in enumerate(words))), (3, " ".join(words) + " end")]
+    like = [[len(a & b) / len(a | b) for b in sets[1:]] for n in (4, 5) for sets in [[brute.shingles(t, n) for _, t in rows]] for a in sets[:1]]
+    assert like[0][0] >= 0.8 > like[1][0] and like[1][1] >= 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_removal(spark, docs, "").collect()) == [1, 2]
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
     spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
