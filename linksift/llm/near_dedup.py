@@ -17,8 +17,9 @@ different components after that are compared in further rounds with other centre
 pairs, so no candidate link between different components is left out.
 
 A document without words has no set and is linked with nothing; its component is itself. A null
-doc_id is no candidate for the smallest id; a component without any id has none, and its rows are
-kept. Rows equal in id and text stand for one document and stay together. Empty tables give no rows.
+doc_id is no candidate for the smallest id; a component without any id has none, and op7 keeps its
+rows. Rows equal in id and text stand for one document and stay together in op7. Where near-duplicates
+are dropped, one row of each component stays in both cases. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -229,13 +230,36 @@ def class_links(sketches: DataFrame, docs: DataFrame, shingle: int = SHINGLE, si
 
 
 def without_near_duplicates(docs: DataFrame, columns: list[str], shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """``columns`` of the documents that are kept."""
-    judged = near_duplicates(docs, shingle)
-    gone = settle(judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("class").alias("_of")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_doc"), class_of().alias("_class"))
+    """``columns`` of one document of each component, that with the least (doc_id nulls last, class).
+
+    Of rows equal in id and text one is taken. Rows without words stay, unless they repeat an id.
+    """
+    sketches = settle(sketched(docs, shingle), "sketches")
+    labels = class_links(sketches, docs, shingle)
+    # One row per id and text, then the least id of each class with the number of its rows.
+    rows = sketches.groupBy("class", "doc_id").agg(F.count("*").alias("times"), F.min("n_shingles").alias("n"))
+    rows = settle(rows, "rows")
+    no_id = F.col("doc_id").isNull().alias("no_id")
+    lowest = rows.where("n > 0").groupBy("class").agg(F.min(F.struct(no_id, "doc_id")).alias("low"))
+    lowest = settle(
+        lowest.join(labels, F.col("class") == F.col("node"), "left").select(
+            "class", "low.*", F.coalesce("component", "class").alias("component")
+        ),
+        "lowest",
+    )
+    first = lowest.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "class")).alias("first"))
+    first = first.select(F.col("first.class").alias("_of"), F.col("first.doc_id").alias("_id"), F.lit(True).alias("first"))
+    chosen = rows.join(first, (F.col("class") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    stays = F.coalesce("first", F.col("n") == 0)
+    repeats = stays & (F.col("times") > 1) & (F.col("first") | F.col("doc_id").isNotNull())
+    marks = chosen.select(F.col("doc_id").alias("_id"), F.col("class").alias("_of"), stays.alias("stays"), F.coalesce(repeats, F.lit(False)).alias("repeats"))
+    marks = settle(marks.where("repeats or not stays"), "marks")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    read = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), class_of().alias("_class"))
     same = (F.col("_class") == F.col("_of")) & F.col("_doc").eqNullSafe(F.col("_id"))
-    return rows.join(gone, same, "left_anti").select("_row.*")
+    # Equal rows are reduced before the shuffle, to one in each task.
+    one = read.join(marks.where("repeats"), same).select("_row", "_doc", "_class").dropDuplicates(["_doc", "_class"])
+    return read.join(marks, same, "left_anti").select("_row.*").union(one.select("_row.*"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:

@@ -72,6 +72,19 @@ def test_near_duplicates_of_odd_rows(odd_docs, odd_rows):
     assert kept.columns == odd_docs.columns and 0 < kept.count() < odd_docs.count()
 
 
+def test_one_document_of_each_component_stays(spark):
+    """Components without ids, and rows equal in id and text, leave one row; rows without words stay."""
+    texts = [" ".join(f"{name}{i}" for i in range(200)) for name in "abcd"]
+    rows = [(None, texts[0], 1), (None, texts[0], 2), (None, texts[0] + " end", 3), (7, texts[1], 4), (7, texts[1], 4), (7, texts[1], 4)]
+    rows += [(None, texts[2], 5), (9, texts[2] + " end", 6), (9, texts[2] + " end", 7), (8, texts[2] + " stop", 8), (8, texts[3], 9)]
+    rows += [(None, "", 10), (None, "", 11), (20, " ", 12), (21, " ", 13), (21, " ", 13), (None, None, 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    got = near_dedup.without_near_duplicates(docs, ["doc_id", "n"])
+    kept = sorted(r.n for r in got.collect())
+    assert len([n for n in kept if n <= 3]) == 1
+    assert [n for n in kept if n > 3] == [4, 8, 9, 10, 11, 12, 13, 14]
+
+
 def test_near_duplicates_without_a_common_centre(spark):
     """A chain of texts, each close to the next: one component, found in several rounds."""
     words = [f"w{i}" for i in range(300)]
