@@ -118,6 +118,15 @@ def test_similar_lines_of_odd_rows(odd_docs, odd_rows):
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in odd_rows)
 
 
+def test_short_lines_go_too(spark):
+    """Lines of one word or more, also of many words but few different ones; lines without words stay."""
+    rows = [(1, "menu\n\nlog in now\none two three four\n" + "la le li lo " * 15), (2, "Menu\n\nnow log in\nlog in\none two three four five")]
+    rows += [(3, "menu\n \n" + "la le li lo " * 15 + "\nother")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, ["doc_id"], least=1).collect()}
+    assert got == {1: rows[0][1], 2: "\nlog in", 3: " \nother"}
+
+
 def test_repeated_spans(docs, pairs):
     want = brute.repeated_spans(pairs)
     got = suffix_dedup.without_repeats(docs, ["doc_id"]).collect()
