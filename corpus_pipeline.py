@@ -49,7 +49,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(docs, TOKENIZER, END_ID)
+    packed = packing.pack_documents(docs, TOKENIZER, END_ID, added_tokens=True)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

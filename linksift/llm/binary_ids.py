@@ -145,7 +145,7 @@ class Reader:
 
 
 def write_ids(
-    docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, files: int, folder: str | None = None
+    docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, files: int, folder: str | None = None, added_tokens: bool = False
 ) -> DataFrame:
     """Encode every document, write the files and return one row per file.
 
@@ -157,7 +157,7 @@ def write_ids(
     bits = bits_for(vocabulary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, out = Encoder(tokenizer), None, None
+        encoder, writer, out = Encoder(tokenizer, added_tokens), None, None
         system, root = file_system(folder)
         number = TaskContext.get().partitionId()
         final, own = f"{root}/ids-{number:06d}.bin", f"{root}/.{uuid.uuid4().hex}"

@@ -29,7 +29,9 @@ CAPACITY = 4096
 BATCH_BYTES = 4 << 20
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, added_tokens: bool = False
+) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): pieces with their ids as little-endian 32-bit."""
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema(
@@ -37,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rows, held = Encoder(tokenizer), [], 0
+        encoder, rows, held = Encoder(tokenizer, added_tokens), [], 0
         for batch in batches:
             for key, text in zip(batch.column("doc_id"), batch.column("text")):
                 data = encoder.encode(text.as_py()) + end
@@ -123,9 +125,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, added_tokens: bool = False
+) -> DataFrame:
     """Pieces of all documents with ids, their checksum, sequence_id and offset."""
-    pieces = token_pieces(docs, tokenizer, end_id, capacity).withColumn("ids_crc32", F.crc32("ids"))
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, added_tokens).withColumn("ids_crc32", F.crc32("ids"))
     return pack(settle(pieces, "pieces"), capacity)
 
 

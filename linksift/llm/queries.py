@@ -47,7 +47,7 @@ def op1_quality_rules(spark, sf):
 def op2_token_files(spark, sf):
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = table(spark, sf, "documents")
-    return binary_ids.read_documents(binary_ids.write_ids(docs, BYTE_TOKENIZER, END_ID, 50_257, files))
+    return binary_ids.read_documents(binary_ids.write_ids(docs, BYTE_TOKENIZER, END_ID, 50_257, files, added_tokens=True))
 
 
 @query
@@ -65,7 +65,7 @@ def op3_byte_shards(spark, sf):
 
 @query
 def op4_packed_sequences(spark, sf):
-    packed = packing.pack_documents(table(spark, sf, "documents"), WORD_TOKENIZER, END_ID)
+    packed = packing.pack_documents(table(spark, sf, "documents"), WORD_TOKENIZER, END_ID, added_tokens=True)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -47,12 +47,15 @@ class Encoder:
 
     Both files split a text into pieces by a pattern and encode each piece for itself, so pieces
     are given to the tokenizer's model once and remembered. Strings of special tokens count as
-    ordinary text.
+    ordinary text, unless ``added_tokens``: then they are read as the file's added tokens, and a
+    text that has one is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        found = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content for token in found] if added_tokens else []
         self.lowers = self.tokenizer.normalizer is not None
         self.split = re.compile(WORD_PIECES if self.lowers else BYTE_PIECES).findall
         self.known = Pieces(self.tokenizer.model)
@@ -60,7 +63,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if NOT_PLAIN.search(text):
+        if NOT_PLAIN.search(text) or any(content in text for content in self.added):
             found = self.tokenizer.encode(text, add_special_tokens=False)
             return np.array(found.ids, "<u4").tobytes()
         # Of plain characters the normalizer only changes the case and white space.

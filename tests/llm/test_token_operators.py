@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from linksift.llm import binary_ids, packing, sharding
+from linksift.llm.queries import QUERIES
 from linksift.llm.tables import fresh_path
 from linksift.llm.tokens import NOT_PLAIN, Encoder
 
@@ -51,6 +52,25 @@ def test_odd_texts_give_the_same_ids(coder, odd_rows):
     same(coder, "<|endoftext|> <|startoftext|>")
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_as_the_unmodified_tokenizer(path, odd_rows):
+    pair = Encoder(path, added_tokens=True), Tokenizer.from_file(path)
+    for text in ["a <|endoftext|> b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> a", "\u65e5 <|endoftext|>", "a <|endoftext b"]:
+        same(pair, text)
+    for row in odd_rows:
+        same(pair, row[1] or "")
+
+
+def test_queries_read_added_tokens(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "plain text", "<|startoftext|> c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, path, count in (("op2_token_files", BYTES, "n_tokens"), ("op4_packed_sequences", WORDS, "doc_tokens")):
+        plain = Tokenizer.from_file(path)
+        ids = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        got = {r.doc_id: (r[count], r.ids_crc32) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {i: (len(x), brute.crc(x)) for i, x in enumerate(ids)}
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 31, 32])
 def test_bits_round_trip(bits):
     rng = np.random.default_rng(bits)
