@@ -2,10 +2,11 @@
 
 Every host has a tree of path segments. Digits in a segment become ``#``; a node with more than
 ``CHILDREN`` different children gets one wildcard child ``*`` instead. Labelled pages are counted at
-the leaves (templates). Sibling templates whose shares of bad pages do not differ significantly are
-merged, and a template is rejected if its smoothed share of bad pages, drawn towards that of its
-host and of all hosts, reaches ``PURITY``. Templates without labels of their own keep the smoothed
-share, so they are rejected only where their host's labelled pages are bad throughout.
+the leaves (templates). From the host downwards, sibling branches whose shares of bad pages do not
+differ significantly are merged as wholes; the share of a merged branch is drawn towards that of the
+branch above it, and that of a host towards all hosts. A template is rejected if its smoothed share
+reaches ``PURITY``. A template without labels takes the share of its nearest labelled branch, to
+which the share of the pages of its own shape on all hosts is drawn.
 
 A null url, or one without ``://``, has an empty host and path and is allowed unless a rule fits.
 Repeated rows are judged alike; an empty table gives no rows. Only DataFrame functions are used.
@@ -26,6 +27,8 @@ CHILDREN = 30
 SMOOTHING = 20.0
 PURITY = 0.9
 DIFFERS = 1.96
+#: A side of a join is broadcast only up to so many rows (of a shape and two counts).
+BROADCAST_ROWS = 100_000
 
 RULES = [
     ("org", "/", "allow"),
@@ -107,32 +110,61 @@ def templates(counted: DataFrame, depth: int = DEPTH, children: int = CHILDREN)
     return level.drop("pieces")
 
 
-def rejected_templates(level: DataFrame, smoothing: float = SMOOTHING, purity: float = PURITY) -> DataFrame:
-    """(host, template) of the templates that labelled pages show to be bad."""
-    leaves = level.groupBy("host", "parent", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = leaves.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
+def branch_shares(level: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """Adds ``smoothed`` to the table of host, shape, n, bad and template, from the hosts downwards.
+
+    At every level the whole branches below one node are merged where their shares do not differ,
+    and a merged branch is drawn towards the one above. A branch without labels keeps the share of
+    the one above, so a template ends with that of its nearest labelled branch.
+    """
+    hosts = level.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_bad").alias("bad")).first()
     prior = (total["bad"] or 0) / max(total["n"] or 0, 1)
-    leaves = leaves.join(hosts, "host").withColumn(
-        "host_share", (F.col("host_bad") + smoothing * prior) / (F.col("host_n") + smoothing)
-    )
+    host_share = (F.col("host_bad") + smoothing * prior) / (F.col("host_n") + smoothing)
+    now = level.join(hosts.select("host", host_share.alias("smoothed")), "host")
+    now = now.withColumn("deep", F.size(F.split("template", "/")) - 1)
     # Siblings in order of their share: one that differs from the one before begins a new branch.
     # A node has at most CHILDREN children, so these windows are small.
-    siblings = W.partitionBy("host", "parent").orderBy("share", "template")
-    share = F.when(F.col("n") > 0, F.col("bad") / F.col("n"))
+    siblings = W.partitionBy("host", "above").orderBy("share", "node")
     n0, bad0 = F.lag("n").over(siblings), F.lag("bad").over(siblings)
     pooled = (F.col("bad") + bad0) / (F.col("n") + n0)
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / n0))
     gap = F.abs(F.col("share") - bad0 / n0)
-    marked = leaves.where("n > 0").withColumn("share", share).withColumn(
-        "begins", F.when(n0.isNull(), 0).when((spread > 0) & (gap > DIFFERS * spread), 1).otherwise(0)
+    begins = F.when(n0.isNull(), 0).when((spread > 0) & (gap > DIFFERS * spread), 1).otherwise(0)
+    whole = W.partitionBy("host", "above", "branch")
+    drawn = (F.sum("bad").over(whole) + smoothing * F.col("smoothed")) / (F.sum("n").over(whole) + smoothing)
+    for at in range(1, DEPTH + 1):
+        # The last segment may hold more than one slash.
+        node = F.col("template") if at == DEPTH else F.substring_index("template", "/", at + 1)
+        here = now.where(F.col("deep") >= at).select(
+            "host", F.substring_index("template", "/", at).alias("above"), node.alias("node"), "n", "bad", "smoothed"
+        )
+        nodes = here.groupBy("host", "above", "node").agg(
+            F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("smoothed").alias("smoothed")
+        )
+        marked = nodes.where("n > 0").withColumn("share", F.col("bad") / F.col("n")).withColumn("begins", begins)
+        branch = marked.withColumn("branch", F.sum("begins").over(siblings))
+        found = branch.select("host", F.col("node").alias("at_node"), drawn.alias("found"))
+        now = now.withColumn("at_node", F.when(F.col("deep") >= at, node)).join(found, ["host", "at_node"], "left")
+        now = now.withColumn("smoothed", F.coalesce("found", "smoothed")).drop("at_node", "found")
+        now = settle(now, "shares")
+    return now.drop("deep")
+
+
+def rejected_shapes(level: DataFrame, smoothing: float = SMOOTHING, purity: float = PURITY) -> DataFrame:
+    """(host, shape) of the paths whose template labelled pages show to be bad."""
+    shares = branch_shares(level, smoothing)
+    own_n = shares.groupBy("host", "template").agg(F.sum("n").alias("own_n"))
+    shapes = settle(
+        shares.where("n > 0").groupBy("shape").agg(F.sum("n").alias("shape_n"), F.sum("bad").alias("shape_bad")), "shapes"
     )
-    branch = marked.withColumn("branch", F.sum("begins").over(siblings))
-    whole = W.partitionBy("host", "parent", "branch")
-    smoothed = (F.sum("bad").over(whole) + smoothing * F.col("host_share")) / (F.sum("n").over(whole) + smoothing)
-    labelled = branch.select("host", "template", smoothed.alias("smoothed"))
-    bare = leaves.where("n = 0").select("host", "template", F.col("host_share").alias("smoothed"))
-    return labelled.union(bare).where(F.col("smoothed") >= purity).select("host", "template")
+    shapes = F.broadcast(shapes) if shapes.count() <= BROADCAST_ROWS else shapes
+    # Without labels of its own, a template takes those of the same shape on other hosts.
+    known, hits = F.coalesce("shape_n", F.lit(0)), F.coalesce("shape_bad", F.lit(0))
+    bare = (hits + smoothing * F.col("smoothed")) / (known + smoothing)
+    found = shares.join(own_n, ["host", "template"]).join(shapes, "shape", "left")
+    share = F.when(F.col("own_n") > 0, F.col("smoothed")).otherwise(bare)
+    return found.where(share >= purity).select("host", "shape")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -143,7 +175,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     counted = ruled.groupBy("host", "shape").agg(
         F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad")
     )
-    level = templates(counted)
-    bad = level.join(rejected_templates(level), ["host", "template"], "left_semi")
-    found = ruled.join(bad.select("host", "shape", F.lit("block").alias("found")), ["host", "shape"], "left")
+    bad = rejected_shapes(templates(counted)).withColumn("found", F.lit("block"))
+    found = ruled.join(bad, ["host", "shape"], "left")
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", "found", F.lit("allow")).alias("verdict"))

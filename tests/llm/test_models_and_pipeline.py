@@ -115,6 +115,18 @@ def test_url_templates_of_the_pages(spark):
     assert got == {k: want[u] for k, u in urls.items()}
 
 
+def test_url_templates_without_labels_of_their_own(spark):
+    """They follow their nearest labelled branch, merged with its siblings, and their shape elsewhere."""
+    rules = [("h.com", "/shop/bad/", "block"), ("h.com", "/ok/", "allow"), ("i.com", "/ok/", "allow"), ("com", "/de/", "block")]
+    rules += [("i.com", f"/{k}/bad/", "block") for k in "abcdefghij"]
+    urls = [f"http://h.com/{k}/{i}" for k in ("shop/bad", "ok") for i in range(300)] + [f"http://i.com/ok/{i}" for i in range(300)]
+    urls += [f"http://i.com/{k}/bad/{i}" for k in "abcdefghij" for i in range(15)] + [f"http://n{chr(97 + i % 26)}.com/de/{i}" for i in range(300)]
+    bare = {"http://h.com/shop/new": "block", "http://h.com/new": "allow", "http://i.com/a/new": "block", "http://x.net/de/7": "block", "http://x.net/fr/7": "allow"}
+    pages = spark.createDataFrame([(i, u, None, 1, 2) for i, u in enumerate([*urls, *bare])], URL_SCHEMA)
+    got = url_templates.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert {r.page_id: r.verdict for r in got.where("rule is null").collect()} == {len(urls) + i: v for i, v in enumerate(bare.values())}
+
+
 def test_url_templates_without_pages_or_rules(spark):
     rules = spark.createDataFrame(url_templates.RULES, "host string, path string, verdict string")
     assert url_templates.judge_urls(spark.createDataFrame([], URL_SCHEMA), rules).count() == 0
