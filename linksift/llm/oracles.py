@@ -161,3 +161,89 @@ select doc_id, length(digits) // 2 as n_bytes, coalesce(n_removed, 0) as n_remov
   coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(left_over, digits))) as kept_sha256
 from texts left join sums using (row_no) left join kept using (row_no)
 """
+
+
+def _merkle() -> str:
+    """The levels of a Merkle manifest, written out for groups of up to 8 ** 8 leaves."""
+
+    def field(column: str) -> str:
+        text = f"cast({column} as varchar)"
+        return f"coalesce(octet_length(encode({text}))::varchar || ':' || {text}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    bits = "list_reduce(list_prepend(xor(acc, byte), range(8)), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda acc, byte: {bits}), 4294967295)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""leaves as (
+  select doc_id, lang, {leaf("text")} as leaf,
+    case when ({crc}) % 3 = 0 then {leaf(lowered)} else {leaf("text")} end as changed
+  from documents
+), placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as rows
+  from leaves
+), a0 as (select lang as grp, place, leaf as hash, rows from placed)"""
+    ]
+
+    def climb(name: str) -> None:
+        for level in range(8):
+            parts.append(f"""{name}s{level} as (
+  select grp, place // 8 as slot, rows, list(hash order by place) as kids from {name}{level} where rows > 1 group by all
+), {name}{level + 1} as (
+  select grp, slot as place, sha256(array_to_string(kids, '')) as hash, (rows + 7) // 8 as rows from {name}s{level}
+)""")
+
+    climb("a")
+    ends = " union all ".join(f"select grp, hash from a{level} where rows = 1" for level in range(9))
+    parts.append(f"""subroots as (select grp, hash from ({ends})), b0 as (
+  select 0 as grp, row_number() over (order by grp nulls first) - 1 as place, hash, count(*) over () as rows, grp as lang from subroots
+)""")
+    climb("b")
+    root = " union all ".join(f"select hash from b{level} where rows = 1" for level in range(9))
+    parts.append(f"root as (select hash as root from ({root}))")
+    parts.append("""w0 as (
+  select p.doc_id, p.leaf, p.changed as node, '' as proof, p.lang, p.place, b0.place as top, b0.hash as subroot
+  from placed p join b0 on p.lang is not distinct from b0.lang
+)""")
+    step, last = 0, "place"
+    for name, key in (("a", "lang"), ("b", "0")):
+        for level in range(8):
+            at = last if name == "a" else "top"
+            parts.append(f"""w{step + 1} as (
+  select w.doc_id, w.leaf, case when kids is null then w.node
+      else sha256(array_to_string(kids[:{at} % 8] || [w.node] || kids[{at} % 8 + 2:], '')) end as node,
+    case when kids is null then proof else proof || array_to_string(kids[:{at} % 8] || kids[{at} % 8 + 2:], '') end as proof,
+    w.lang, {"w.place // 8 as place, w.top" if name == "a" else "w.place, w.top // 8 as top"}, w.subroot
+  from w{step} w left join {name}s{level} s on s.grp is not distinct from {"w.lang" if name == "a" else "0"} and s.slot = w.{at} // 8
+)""")
+            step += 1
+    return "with " + ", ".join(parts) + f"""
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, node as folded_root, node = root as verified
+from w{step}, root"""
+
+
+ORACLES["op11_merkle_manifest"] = _merkle()
+
+ORACLES["op12_hard_negatives"] = r"""
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from vectors a, vectors b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+  row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""

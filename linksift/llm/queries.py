@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from linksift.llm import (
     binary_ids,
     decontaminate,
+    hard_negatives,
     line_dedup,
+    manifest,
+    mixing,
     near_dedup,
     packing,
     quality,
@@ -112,3 +116,39 @@ def op9_similar_lines(spark, sf):
 @query
 def op10_repeated_spans(spark, sf):
     return suffix_dedup.without_repeats(table(spark, sf, "documents"), ["doc_id"]).drop("kept")
+
+
+@query
+def op11_merkle_manifest(spark, sf):
+    docs = table(spark, sf, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    changed = F.when(F.col("text").isNotNull(), F.translate("text", upper, lower))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, manifest.leaf_of(*map(F.col, fields[:-1]), changed))
+    leaf = manifest.leaf_of(*map(F.col, fields))
+    proven = manifest.manifest(docs, leaf, "lang", "doc_id", [F.col("doc_id"), tampered.alias("tampered")])
+    folded = manifest.fold(F.coalesce("row.tampered", "leaf"), F.col("path"))
+    return proven.select(
+        "row.doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    vectors = hard_negatives.usable(table(spark, sf, "embeddings"), "vec_id", "label", "embedding")
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("vector", lambda x: F.floor(F.lit(256) * x))
+    vectors = vectors.select("id", label.cast("long").alias("label"), scaled.alias("vector"))
+    mined = hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query
+def op13_source_mix(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents"), [F.col("doc_id")])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "copies")
