@@ -13,8 +13,11 @@ Texts that are equal form one class first. Within a bucket of a band, classes ar
 centre instead of to each other; a link counts once the full sets confirm it. The centre is the class
 that meets most others over all its buckets: where many copies of a text drift apart, that is the text
 itself, which is closer to each of them than they are to each other. Classes of a bucket that are in
-different components after that are compared in further rounds with other centres, at last in all
-pairs, so no candidate link between different components is left out.
+different components after that are compared in further rounds with other centres, drawn anew for
+every bucket, as long as rounds join components. Then the few classes that no centre has reached are
+compared with the classes of other components in their buckets, each pair in the first bucket that it
+shares. So no candidate link between different components is left out, and pairs within a component,
+nearly all of a large group, are never made.
 
 A document without words has no set and is linked with nothing; its component is itself. A null
 doc_id is no candidate for the smallest id; a component without any id has none, and op7 keeps its
@@ -43,7 +46,8 @@ BINS = 128
 ROWS = 4
 SIMILAR = 80
 KNOWN_WORDS = 300_000
-STAR_ROUNDS = 3
+#: Rounds of centres go on while they take away this share of the pairs that are left.
+PROGRESS = 0.25
 #: A side of a join is broadcast only up to so many rows (of an id and a hash).
 BROADCAST_ROWS = 300_000
 MASK = (1 << 64) - 1
@@ -197,38 +201,48 @@ def class_links(sketches: DataFrame, docs: DataFrame, shingle: int = SHINGLE, si
     )
     texts = settle(texts.select("class", "text").dropDuplicates(["class"]), "texts")
 
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a string, b string")
-    labels = spark.createDataFrame([], "node string, component string")
-    for turn in range(STAR_ROUNDS + 1):
+    labels = docs.sparkSession.createDataFrame([], "node string, component string")
+    turn, before, last = 0, float("inf"), False
+    side = lambda x: mixed_now.select("bucket", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"))
+    while not last:
+        mixed_now = settle(_mixed_buckets(members, labels), "mixed") if turn else members.withColumn("label", F.col("class"))
         if turn:
-            mixed_now = settle(_mixed_buckets(members, labels), "mixed")
             per_label = mixed_now.groupBy("bucket", "label").agg(F.count("*").cast("double").alias("k"))
             per = per_label.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-            told = per.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")).first()
+            told = per.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
             if not told["pairs"]:
                 break
-            last = turn == STAR_ROUNDS or told["pairs"] <= mixed_now.count()
-        else:
-            mixed_now, last = members.withColumn("label", F.col("class")), False
-        side = lambda x: mixed_now.select("bucket", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"))
+            last = told["pairs"] <= told["rows"] or told["pairs"] > (1 - PROGRESS) * before
+            before = told["pairs"]
         if last:
-            met = side("a").join(side("b"), "bucket").where("a < b and label_a != label_b")
+            all_buckets = lambda x: classes.select(F.col("class").alias(x), F.col("buckets").alias(f"buckets_{x}"))
+            first = lambda x: side(x).join(all_buckets(x), x)
+            shared = F.array_position(F.zip_with("buckets_a", "buckets_b", lambda p, q: p == q), F.lit(True))
+            here = F.array_position("buckets_a", F.col("bucket"))
+            met = first("a").join(first("b"), "bucket").where(F.col("a") < F.col("b")).where(shared == here)
         else:
-            worth = F.xxhash64(F.lit(turn), "class") if turn else F.col("degree")
+            worth = F.xxhash64(F.lit(turn), "bucket", "class") if turn else F.col("degree")
             each = F.struct(worth.alias("worth"), "class", "n", "label")
             centre = mixed_now.groupBy("bucket").agg(F.max(each).alias("c"))
             centre = centre.select("bucket", F.col("c.class").alias("b"), F.col("c.n").alias("n_b"), F.col("c.label").alias("label_b"))
-            met = side("a").join(centre, "bucket").where("label_a != label_b")
-        pairs = met.where(_near_in_size(similar)).select("a", "b").distinct()
-        new = settle(confirmed(pairs, texts, shingle, similar), "confirmed")
-        links = links.union(new)
-        labels = settle(components(links), "labels")
-        if last:
-            break
+            met = side("a").join(centre, "bucket")
+        pairs = met.where("label_a != label_b").where(_near_in_size(similar)).select("a", "b").distinct()
+        labels = _relabelled(labels, settle(confirmed(pairs, texts, shingle, similar), "confirmed"))
+        turn += 1
     return labels
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) with the components that new links (a, b) of nodes join."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b")
+    joined = settle(components(ends), "joined")
+    then = joined.select(F.col("node").alias("component"), F.col("component").alias("then"))
+    moved = labels.join(then, "component", "left").select("node", F.coalesce("then", "component").alias("component"))
+    return settle(moved.union(joined.join(labels, "node", "left_anti")), "labels")
+
+
 def without_near_duplicates(docs: DataFrame, columns: list[str], shingle: int = STAGE_SHINGLE) -> DataFrame:
     """``columns`` of one document of each component, that with the least (doc_id nulls last, class).
 

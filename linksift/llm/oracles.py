@@ -107,7 +107,7 @@ with cut as (
     list_distinct(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as words
   from cut
 ), words as (
-  select place, len(words) as n, unnest(words) as word from lines where len(words) >= 5
+  select place, len(words) as n, unnest(words) as word from lines where len(words) > 0
 ), ranked as (
   select w.place, w.word, row_number() over (partition by w.place order by f.times, w.word) as spot, w.n
   from words w join (select word, count(*) as times from words group by word) f using (word)

@@ -5,10 +5,12 @@ holds, and the rest. Which pieces share a window depends on their lengths alone,
 made from the histogram of lengths (at most ``capacity`` entries, whatever the corpus): a window
 takes the longest length left and then the multiset of other lengths whose sum comes closest to
 the room left, found by a bitset subset-sum; the window is used as often as the counts allow.
-Pieces then get a number among those of their length, and the number finds window and place.
+If that leaves more windows than the sum of lengths needs, plans that allow a window a little more
+slack where longer pieces cause it are tried too. Pieces then get a number among those of their
+length, and the number finds window and place.
 
-A null or empty text is one piece with the end id. Rows that share a doc_id are documents of
-their own. An empty table gives no pieces.
+A null or empty text is one piece with the end id; a text of any length is encoded whole. Rows that
+share a doc_id, and rows that repeat another, are documents of their own. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from linksift.llm.tables import settle
 from linksift.llm.tokens import Encoder
 
 CAPACITY = 4096
+#: Slack that a window may have beyond the least, as shares of the capacity; each gives a plan.
+ALLOWANCES = (0.0, 0.01, 0.02, 0.03, 0.05)
 BATCH_BYTES = 4 << 20
 
 
@@ -83,17 +87,48 @@ def fill_window(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
     return list(chosen.items())
 
 
+def largest_first(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
+    """The lengths, with how many of each, that fit into ``room`` if the longest are taken first."""
+    chosen = {}
+    for length in sorted(counts, reverse=True):
+        if taken := min(counts[length], room // length):
+            chosen[length] = taken
+            room -= taken * length
+    return list(chosen.items())
+
+
 def plan_windows(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     """Where the pieces of each length go.
 
     A row says: the pieces of ``length`` numbered ``first`` to ``last`` fill, ``each`` at a time,
-    the sequences from ``sequence`` on, beginning at ``offset``.
+    the sequences from ``sequence`` on, beginning at ``offset``. Of the plans for some allowances the
+    one with the fewest sequences is taken; a plan without avoidable slack ends the search.
+    """
+    fewest = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best = None
+    for share in ALLOWANCES:
+        rows, sequences = _planned(counts, capacity, int(share * capacity))
+        if best is None or sequences < best[1]:
+            best = rows, sequences
+        if sequences <= fewest:
+            break
+    return pd.DataFrame(best[0], columns=["at_length", "first", "last", "each", "sequence", "offset_0"], dtype="int64")
+
+
+def _planned(counts: dict[int, int], capacity: int, allowance: int) -> tuple[list[tuple], int]:
+    """One plan: a window may have ``allowance`` more slack than it must, if that takes longer pieces.
+
+    Short pieces are what later windows can be filled up with, so they are not spent for little.
     """
     left, used, rows, sequence = dict(counts), dict.fromkeys(counts, 0), [], 0
     for longest in sorted(counts, reverse=True):
         while left[longest]:
             left[longest] -= 1
-            window = dict(fill_window(left, capacity - longest))
+            window, room = dict(fill_window(left, capacity - longest)), capacity - longest
+            if allowance:
+                other = dict(largest_first(left, room))
+                filled = lambda w: sum(x * n for x, n in w.items())
+                window = other if filled(other) >= filled(window) - allowance else window
             left[longest] += 1
             window[longest] = window.get(longest, 0) + 1
             times, offset = min(left[x] // n for x, n in window.items()), 0
@@ -103,15 +138,15 @@ def plan_windows(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFra
                 left[length] -= each * times
                 offset += each * length
             sequence += times
-    return pd.DataFrame(rows, columns=["at_length", "first", "last", "each", "sequence", "offset_0"], dtype="int64")
+    return rows, sequence
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a settled table with doc_id, start, length, ids_crc32) with sequence_id and offset."""
+    """``pieces`` (a settled table with doc_id, start, length and _no, a number of each) with sequence_id and offset."""
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     schema = "at_length long, first long, last long, each long, sequence long, offset_0 long"
     plan = pieces.sparkSession.createDataFrame(plan_windows(counts, capacity), schema)
-    numbered = number_within(pieces, "length", ["doc_id", "start", "ids_crc32"], "_number")
+    numbered = number_within(pieces, "length", ["doc_id", "start", "_no"], "_number")
     at = F.col("_number") - F.col("first")
     # The plan has a few rows for each of at most ``capacity`` lengths.
     return (
@@ -130,7 +165,8 @@ def pack_documents(
 ) -> DataFrame:
     """Pieces of all documents with ids, their checksum, sequence_id and offset."""
     pieces = token_pieces(docs, tokenizer, end_id, capacity, added_tokens).withColumn("ids_crc32", F.crc32("ids"))
-    return pack(settle(pieces, "pieces"), capacity)
+    # The number tells repeated rows apart, so that a group of them spreads over slices too.
+    return pack(settle(pieces.withColumn("_no", F.monotonically_increasing_id()), "pieces"), capacity).drop("_no")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

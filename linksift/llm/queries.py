@@ -57,7 +57,7 @@ def op2_token_files(spark, sf):
 @query
 def op3_byte_shards(spark, sf):
     return sharding.shard_documents(table(spark, sf, "documents"), ["doc_id"], 8).select(
-        "doc_id",
+        "row.doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
@@ -99,7 +99,7 @@ def op8_toxicity(spark, sf):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = toxicity.fit_model(docs, table(spark, sf, "labels").where(~held_out))
     scored = toxicity.score_documents(docs, model, ["doc_id"])
-    return scored.select(
+    return scored.select("row.doc_id", "score").select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         "score",
@@ -110,7 +110,7 @@ def op8_toxicity(spark, sf):
 @query
 def op9_similar_lines(spark, sf):
     kept = line_dedup.dedup_lines(table(spark, sf, "documents"), ["doc_id"])
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 @query

@@ -50,9 +50,9 @@ def shingles(text, size=4):
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, size=4):
     """doc_id -> (n_shingles, component_id)."""
-    sets = {key: shingles(text) for key, text in docs}
+    sets = {key: shingles(text, size) for key, text in docs}
     owner = {key: key for key, _ in docs}
 
     def root(x):
@@ -79,10 +79,10 @@ def similar_lines(docs):
         kept = []
         for line in (text or "").split("\n"):
             words = frozenset(WORD.findall(line.lower()))
-            like = len(words) >= 5 and any(
+            like = len(words) > 0 and any(
                 100 * len(words & e) >= 80 * len(words | e) for e in earlier if 80 * len(e) <= 100 * len(words) and 80 * len(words) <= 100 * len(e)
             )
-            if len(words) >= 5:
+            if words:
                 earlier.append(words)
             if not like:
                 kept.append(line)

@@ -25,6 +25,9 @@ def document_rows():
     texts += [prose(2) + "\n" + passage + "\n" + prose(3) for _ in range(6)] + [passage * 2, "ab" * 1500, "x" * 2100]
     texts += [texts[3]] * 5 + ["", " \t\n", "one", "One two", "éÀ ñ 日本語のテキスト", "A B <|endoftext|> c", "# $ % &"]
     texts += [prose(900), "Wo\rrd\x0bx\x0cy " * 40, texts[5].upper(), texts[6].replace(" ", "  ")]
+    for _ in range(4):  # copies whose lines break elsewhere
+        words_of = (text := prose(9)).split()
+        texts += [text, "\n".join(" ".join(words_of[a : a + 45]) for a in range(0, len(words_of), 45))]
     rows = [(i, t, "en", "src0", len(t), "no", 7, "big", "x", "w", 1, 2) for i, t in enumerate(texts)]
     rows.append((len(rows), None, None, None, None, None, None, None, None, None, None, None))
     return rows

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,13 +150,55 @@ def test_toxicity_on_held_out_rows(spark):
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 1), (99999, 0)], "doc_id long, toxic int")
     model = toxicity.fit_model(odd_docs, labels)
-    scored = toxicity.score_documents(odd_docs, model, ["doc_id"])
-    assert scored.where(F.col("score").between(0, 1)).count() == odd_docs.count()
+    scored = toxicity.score_documents(odd_docs, model, list(odd_docs.columns)).collect()
+    assert Counter(r.row.text for r in scored) == Counter(r.text for r in odd_docs.collect())
+    by_text = {}
+    for r in scored:  # equal texts, whatever the row, score alike; none and no words alike too
+        assert 0 <= r.score <= 1 and by_text.setdefault(r.row.text, r.score) == r.score
+    assert by_text[None] == by_text[""] == by_text[" \t\n"]
     none = toxicity.fit_model(no_docs, labels.limit(0))
     assert toxicity.score_documents(odd_docs, none, ["doc_id"]).where("score = 0.5").count() == odd_docs.count()
     assert toxicity.score_documents(no_docs, none, ["doc_id"]).count() == 0
 
 
+def test_toxicity_fits_on_as_many_texts_as_labels(spark):
+    """One id holds most rows: one of its texts is learned from, the same for any order."""
+    rows = [(1, f"text {i}") for i in range(600)] + [(1, "text 5")] * 300 + [(2, "other")]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = [toxicity.fit_model(d, labels) for d in (docs.repartition(1), docs.repartition(5), docs.distinct())]
+    assert seen[0] == seen[1] == seen[2]
+
+
+def plain_score(model, text):
+    """One word, filter and place after another, then the cut-off of the text's language."""
+    rows = toxicity.Words()(text).tolist() or [[2 * toxicity.BUCKETS] * 2]
+    vectors = [model.embed[a].astype(float) + model.embed[b] for a, b in rows] + [np.zeros(toxicity.DEPTH)] * 2
+    total = model.base
+    for number, weights in enumerate(model.filters):
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(vectors[at + k] @ weights[k][:, f]) for k in range(len(weights))) for at in range(len(rows)))
+            unit = number * toxicity.FILTERS + f
+            total += max(best + model.bias[unit], 0) * model.out[unit]
+    counts = {k: sum(toxicity.WORD.findall((text or "").lower()).count(w) for w in ws) for k, ws in toxicity.FUNCTION_WORDS.items()}
+    most = [k for k, n in counts.items() if n and n == max(counts.values())]
+    spoken = most[0] if len(most) == 1 else "other"
+    z = total - model.shift.get(spoken, 0.0) + np.log(0.7 / 0.3)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_scores_against_a_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    stored = toxicity.fit_model(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + [None, "", "the and der die", "?"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.loaded(stored)
+    assert model.shift
+    got = {r.row.doc_id: r.score for r in toxicity.score_documents(frame, stored, ["doc_id"]).collect()}
+    assert got == pytest.approx({i: plain_score(model, text) for i, text in enumerate(texts)}, abs=1e-4)
+
+
 def test_long_texts_are_scored_whole(monkeypatch):
     texts = [f"fine word{i} here" for i in range(40)] + [f"some idiot{i} here" for i in range(40)]
     model = toxicity.fit(texts, [0] * 40 + [1] * 40)
@@ -174,7 +217,7 @@ def plain_pipeline(rows, items):
     yield dict(left)
     left = list(brute.similar_lines(left).items())
     yield dict(left)
-    groups = brute.near_duplicates(left)
+    groups = brute.near_duplicates(left, 5)
     left = [(k, t) for k, t in left if groups[k][1] == k]
     yield dict(left)
     yield {k: t for k, t in left if not brute.contamination(t, items)[3]}

@@ -1,6 +1,7 @@
 """Quality rules, decontamination, near duplicates, lines and repeated spans against plain loops."""
 
 import hashlib
+import random
 from collections import Counter
 
 import brute
@@ -67,7 +68,13 @@ def test_near_duplicates(docs, pairs):
 
 def test_near_duplicates_of_odd_rows(odd_docs, odd_rows):
     got = near_dedup.near_duplicates(odd_docs).collect()
-    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in odd_rows)
+    groups, ids = brute.near_duplicates([(i, r[1]) for i, r in enumerate(odd_rows)]), {}
+    for i, r in enumerate(odd_rows):
+        n, root = groups[i]
+        if n and r[0] is not None:
+            ids[root] = min(r[0], ids.get(root, r[0]))
+    want = [(r[0], groups[i][0], ids.get(groups[i][1]) if groups[i][0] else r[0]) for i, r in enumerate(odd_rows)]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter((k, n, c, c is None or k == c) for k, n, c in want)
     kept = near_dedup.without_near_duplicates(odd_docs, odd_docs.columns)
     assert kept.columns == odd_docs.columns and 0 < kept.count() < odd_docs.count()
 
@@ -85,6 +92,19 @@ def test_one_document_of_each_component_stays(spark):
     assert [n for n in kept if n > 3] == [4, 8, 9, 10, 11, 12, 13, 14]
 
 
+def test_a_large_group_that_drifts_apart(spark):
+    """Copies of copies, each with a few words changed: many are like some others, few like all."""
+    rng = random.Random(9)
+    texts = [[f"w{i}" for i in range(60)]]
+    for key in range(700):
+        words = list(texts[rng.randrange(max(0, len(texts) - 40), len(texts))])
+        words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        texts.append(words)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: c for k, (_, c) in brute.near_duplicates(rows).items()}
+
+
 def test_near_duplicates_without_a_common_centre(spark):
     """A chain of texts, each close to the next: one component, found in several rounds."""
     words = [f"w{i}" for i in range(300)]
@@ -108,14 +128,46 @@ def test_sketches_fill_and_estimate():
 def test_similar_lines(docs, pairs, monkeypatch, broadcast):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
     want = brute.similar_lines(pairs)
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, ["doc_id"]).collect()}
+    got = {r.row.doc_id: r.text for r in line_dedup.dedup_lines(docs, ["doc_id"]).collect()}
     assert got == want
     assert sum(want[k] != t for k, t in pairs) > 30
 
 
+@pytest.mark.parametrize("hot,frequent", [(3, 50), (0, 10), (100_000, 0)])
+def test_similar_lines_whatever_counts_as_frequent(docs, pairs, monkeypatch, hot, frequent):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    got = {r.row.doc_id: r.text for r in line_dedup.dedup_lines(docs, ["doc_id"]).collect()}
+    assert got == brute.similar_lines(pairs)
+
+
+def test_similar_lines_where_many_drift_apart(spark):
+    """Lines that follow one another in steps: similar to some earlier line, not to the first."""
+    rng = random.Random(6)
+    line, rows = [f"w{i}" for i in range(20)], []
+    for key in range(150):
+        line = line[1:] + [f"w{20 + key}"] if key % 3 else [*line[:19], f"v{rng.randrange(9)}"]
+        rows.append((key, " ".join(line) + "\nthe same line for a third of all"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.row.doc_id: r.text for r in line_dedup.dedup_lines(docs, ["doc_id"]).collect()}
+    assert got == brute.similar_lines(rows)
+
+
 def test_similar_lines_of_odd_rows(odd_docs, odd_rows):
-    got = line_dedup.dedup_lines(odd_docs, ["doc_id"]).collect()
-    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in odd_rows)
+    """Equal rows are one document; of rows that share an id the lines go by number, then by hash."""
+    got = line_dedup.dedup_lines(odd_docs, list(odd_docs.columns)).collect()
+    assert Counter(r.row.doc_id for r in got) == Counter(r[0] for r in odd_rows)
+    assert Counter(r.row.text for r in got) == Counter(r[1] for r in odd_rows)
+    plain = {k: (None if t is None else t.split("\n")) for k, t, *_ in odd_rows if k is not None and k not in (2, 4)}
+    nothing = {None: (None, 0, 0), "": ("", 1, 0), " \t\n": (" \t\n", 2, 0)}
+    for r in got:
+        if r.row.text in nothing:
+            assert (r.text, r.n_lines, r.n_removed) == nothing[r.row.text]
+        if r.row.doc_id in plain and r.row.text is not None:
+            kept = iter(plain[r.row.doc_id])
+            assert all(line in kept for line in r.text.split("\n")) or r.n_removed == r.n_lines
+    # The rows without an id come first, so row 1, whose text one of them has, loses every line with a word.
+    assert all(not brute.WORD.search(line) for line in next(r for r in got if r.row.doc_id == 1).text.split("\n"))
 
 
 def test_short_lines_go_too(spark):
@@ -123,7 +175,7 @@ def test_short_lines_go_too(spark):
     rows = [(1, "menu\n\nlog in now\none two three four\n" + "la le li lo " * 15), (2, "Menu\n\nnow log in\nlog in\none two three four five")]
     rows += [(3, "menu\n \n" + "la le li lo " * 15 + "\nother")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, ["doc_id"], least=1).collect()}
+    got = {r.row.doc_id: r.text for r in line_dedup.dedup_lines(docs, ["doc_id"]).collect()}
     assert got == {1: rows[0][1], 2: "\nlog in", 3: " \nother"}
 
 

@@ -1,5 +1,6 @@
 """Token files, shards and packing against the tokenizer itself and plain sums."""
 
+import bisect
 import itertools
 import random
 from collections import Counter, defaultdict
@@ -123,7 +124,7 @@ def test_token_files_of_nothing(spark, no_docs):
 
 def check_shards(got, rows, shards, slack):
     want = Counter((r[0], len((r[1] or "").encode()) + 1) for r in rows)
-    assert Counter((r.doc_id, r["size"]) for r in got) == want
+    assert Counter((r.row.doc_id, r["size"]) for r in got) == want
     total, slots = defaultdict(int), defaultdict(list)
     for r in got:
         total[r.shard] += r["size"]
@@ -153,6 +154,15 @@ def test_shards_of_extreme_ids(spark):
     check_shards(got, rows, 2, 5)
 
 
+@pytest.mark.parametrize("shards", [2, 8])
+def test_equal_rows_spread_over_shards(spark, shards):
+    """A third of the rows are equal in id and text; the last id and a null one among them."""
+    rows = [(i, f"text {i}") for i in range(500)] + [(7, "a longer text that is repeated")] * 300
+    rows += [((1 << 63) - 1, "edge")] * 100 + [(None, None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_shards(sharding.shard_documents(docs, ["doc_id"], shards).collect(), rows, shards, 32)
+
+
 def test_shards_of_nothing(no_docs):
     assert sharding.shard_documents(no_docs, ["doc_id"]).count() == 0
 
@@ -189,7 +199,37 @@ def test_plan_places_every_piece_once():
             assert offset == end
             end += length
         assert end <= 100
-    assert len(filled) <= -(-sum(x * n for x, n in counts.items()) // 100) + 1
+    assert len(filled) <= min(best_fit_decreasing(counts, 100), 1.01 * least_windows(counts, 100))
+
+
+def best_fit_decreasing(counts, capacity):
+    rooms = []
+    for x in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - x)
+    return len(rooms)
+
+
+def least_windows(counts, capacity):
+    """The bound of Martello and Toth: long pieces need windows of their own, the rest what is over."""
+    best = 0
+    for k in range(capacity // 2 + 1):
+        alone = sum(n for x, n in counts.items() if x > capacity - k)
+        long = {x: n for x, n in counts.items() if capacity - k >= x > capacity / 2}
+        short = sum(x * n for x, n in counts.items() if capacity / 2 >= x >= k)
+        over = short - sum((capacity - x) * n for x, n in long.items())
+        best = max(best, alone + sum(long.values()) + max(0, -(-over // capacity)))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_are_no_worse_than_best_fit(seed):
+    rng = random.Random(seed + 100)
+    counts = {x: rng.randint(1, 40) for x in rng.sample(range(1 + 4 * seed, 101), 50)}
+    plan = packing.plan_windows(counts, 100)
+    windows = sum((r.last - r.first + 1) // r.each for r in plan.itertuples() if r.offset_0 == 0)
+    assert windows <= best_fit_decreasing(counts, 100)
 
 
 def test_packed_sequences(odd_docs, odd_rows):
