@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linksift.operators.running import ROWS_PER_RANGE, cut_points, running_totals
+from linksift.operators.selection import values_at
 from linksift.session import settled
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -31,22 +33,23 @@ def describe(
     df: DataFrame,
     columns: list[str],
     digits: int | None = 2,
-    rows_per_range: int = ROWS_PER_RANGE,
+    last_rows: int | None = None,
     accuracy: int | None = None,
 ) -> DataFrame:
     """A3: count, mean, std, min, quartiles (linear interpolation), max per numeric column.
 
-    A column of nulls has count 0 and nulls. Exact, and without per-column state in one task: one scan reduces the rows to counts per
-    distinct value, which are ranked by range-wise running totals. Nulls and NaN do not count.
+    A column of nulls has count 0 and nulls; nulls and NaN do not count. Exact: one aggregate, and the
+    values at the quartiles' ranks of all columns narrowed together (``selection``), so that what is
+    shuffled depends neither on the rows nor on their distinct values. The columns are written once.
     With ``accuracy`` set, quartiles are approximate (1/accuracy in rank) from one aggregate,
     for wide tables of high-cardinality doubles.
     """
-    values = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], columns, "feature", "value")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    )
     if accuracy is not None:
+        values = (
+            df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+            .unpivot([], columns, "feature", "value")
+            .filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        )
         quartiles = F.percentile_approx("value", list(QUARTILES.values()), accuracy)
         return _shown(
             values.groupBy("feature")
@@ -61,42 +64,24 @@ def describe(
             .withColumns({name: F.col("_q")[i] for i, name in enumerate(QUARTILES)}),
             digits,
         )
-    counted = settled(
-        values.groupBy("feature", "value")
-        .agg(F.count("*").alias("n"))
-        .withColumn("total", F.col("n") * F.col("value"))
-    )
-    cuts = cut_points(counted, "value", rows_per_range)
-    ranked = running_totals(counted, ["feature"], "value", ["n", "total"], cuts)
-
-    first, end = F.col("before_n"), F.col("before_n") + F.col("n")
-    mean = F.col("all_total") / F.col("all_n")
-    picks = {}
-    for name, q in QUARTILES.items():
-        at = (F.col("all_n") - 1) * F.lit(q)
-        for side, index in (("low", F.floor(at)), ("high", F.ceil(at))):
-            picks[f"{name}_{side}"] = F.max(
-                F.when((first <= index) & (index < end), F.col("value"))
-            )
-    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    stats = ranked.groupBy("feature").agg(
-        F.sum("n").alias("count"),
-        F.max(mean).alias("mean"),
-        F.sum(F.col("n") * F.pow(F.col("value") - mean, 2)).alias("_squares"),
-        F.min("value").alias("min"),
-        *[c.alias(k) for k, c in picks.items()],
-        F.max("value").alias("max"),
-    )
-    quartiles = []
-    for name, q in QUARTILES.items():
-        at = (F.col("count") - 1) * F.lit(q)
-        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        quartiles.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    std = F.sqrt(F.try_divide("_squares", F.col("count") - 1)).alias("std")
-    stats = stats.select("feature", "count", "mean", std, "min", *quartiles, "max")
-    # A column without a value has a row too: count 0, all else null.
-    every = listed.join(stats, "feature", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    return _shown(every, digits)
+    names = [f"v{i}" for i in range(len(columns))]
+    numbers = [F.col(c).cast("double") for c in columns]
+    wide = settled(df.select(*[F.when(~F.isnan(c), c).alias(name) for c, name in zip(numbers, names)]))
+    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    told = wide.agg(*[kind(name).alias(f"{stat}_{name}") for name in names for stat, kind in kinds.items()]).first()
+    places = {name: {q: (told[f"count_{name}"] - 1) * share for q, share in QUARTILES.items()} for name in names}
+    sides = lambda at: (math.floor(at), math.ceil(at))
+    ranks = {name: [r for at in places[name].values() for r in sides(at)] if told[f"count_{name}"] else [] for name in names}
+    found = values_at(wide, ranks, last_rows)
+    rows = []
+    for column, name in zip(columns, names):
+        quartiles = []
+        for at in places[name].values():
+            low, high = (found[name].get(r) for r in sides(at))
+            quartiles.append(None if low is None else low + (high - low) * (at - math.floor(at)))
+        rows.append((column, *(told[f"{stat}_{name}"] for stat in ("count", "mean", "std", "min")), *quartiles, told[f"max_{name}"]))
+    numeric = ", ".join(f"{c} double" for c in ("mean", "std", "min", *QUARTILES, "max"))
+    return _shown(df.sparkSession.createDataFrame(rows, f"feature string, count long, {numeric}"), digits)
 
 
 def head(df: DataFrame, n: int = 3, order: str = "id") -> DataFrame:

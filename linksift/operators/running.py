@@ -7,24 +7,29 @@ is summed on its own, and the few range totals give the offset of each range.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linksift.operators.selection import values_at
 
 # A range is cut to about this many rows, so that it sorts within one task's memory.
 ROWS_PER_RANGE = 1_000_000
-# Resolution of the cut points; it bounds what the driver receives, not the size of the table.
-MAX_RANGES = 8192
 
 
 def cut_points(df: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
-    """Values that cut the rows of a settled table into ranges of like size."""
-    ranges = min(MAX_RANGES, -(-df.count() // rows_per_range))
+    """Values that cut the rows of a settled table into ranges of equal size, at exact ranks.
+
+    The driver holds one number per range, so 8 MB for 1e12 rows; there is no limit on their number.
+    """
+    n = df.count()
+    ranges = -(-n // rows_per_range)
     if ranges < 2:
         return []
-    steps = [i / ranges for i in range(1, ranges)]
-    return sorted(set(df.agg(F.percentile_approx(order, steps, 10 * ranges)).first()[0]))
+    found = values_at(df, {order: [n * i // ranges for i in range(1, ranges)]})[order]
+    return sorted({value for value in found.values() if math.isfinite(value)})
 
 
 def with_range(df: DataFrame, order: str, cuts: list[float], out: str = "_range") -> DataFrame:

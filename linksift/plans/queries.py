@@ -31,8 +31,9 @@ QUERIES: dict[str, Query] = {}
 
 # Settings of the model queries: those of a full run. One fit reads at most so many labelled rows;
 # splits, folds, scaling, predictions and scores cover all.
-RUN = replace(L.URL_RUN, fit_rows=20_000, splits=4)
-SCORER = replace(L.APP_RUN, fit_rows=20_000, splits=4)
+RUN = replace(L.URL_RUN, fit_rows=20_000)
+PAGES = replace(L.PAGE_RUN, fit_rows=20_000)
+SCORER = replace(L.APP_RUN, fit_rows=20_000)
 # What a model must reach on labels of which a tenth is wrong, to count as trained.
 ACCURACY_FLOOR, AUC_FLOOR = 0.85, 0.8
 
@@ -575,7 +576,7 @@ def forest_importance(spark, sf):
 
 @query
 def wide_table_comparison(spark, sf):
-    run = training.compare(I.wide_table(spark, sf), RUN, label="CLASS_LABEL")
+    run = training.compare(I.wide_table(spark, sf), PAGES, label="CLASS_LABEL")
     # The labels of this table are noise, so only the bounds can be held.
     return _kept(run, _run_summary(run, 0.0, 0.0))
 
@@ -584,10 +585,9 @@ def _scorer(spark, sf):
     """The URL model of the scorers: the app's forest over the links, whose labels are right."""
     df = settled(_features(spark, sf))
     preparation = training.fit_preparation(df, V.FEATURES)
-    table = preparation.transform(df).select("id", "label", "features")
-    table = table.repartition(SCORER.splits, "id").sortWithinPartitions("id")
-    rows, _ = training.fit_rows(settled(table), df.count(), SCORER)
-    return training.whole_model(preparation, L.random_forest(SCORER).fit(rows))
+    table = settled(preparation.transform(df).select("id", "label", "features"))
+    rows, _ = training.fit_rows(table, df.count(), SCORER)
+    return training.whole_model(preparation, L.fit(L.FOREST, rows, SCORER))
 
 
 def _scored_summary(scored: DataFrame, *keys: str) -> DataFrame:

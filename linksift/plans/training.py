@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from linksift.operators import evaluate as E
 from linksift.operators import learners as L
 from linksift.operators import report as R
+from linksift.operators.blocks import NO_FOLD
 from linksift.operators.scale import fit_scaler, scaled_names
 from linksift.operators.split import sample_per_class, stratified_folds, stratified_split
 from linksift.session import settled, shared_dir
@@ -51,8 +52,7 @@ def fit_preparation(train: DataFrame, features: list[str]) -> PipelineModel:
 
 def whole_model(preparation: PipelineModel, model: Transformer) -> PipelineModel:
     """Scaler, assembler and classifier as one saveable model."""
-    tail = model.stages if isinstance(model, PipelineModel) else [model]
-    return PipelineModel([*preparation.stages, *tail])
+    return PipelineModel([*preparation.stages, model])
 
 
 def predict_all(df: DataFrame, models: dict[str, Transformer], keep: list[str]) -> DataFrame:
@@ -99,16 +99,15 @@ def compare(
     table = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), *features)
     parted = stratified_split(table, seed=settings.seed)
     preparation = fit_preparation(parted.filter(~F.col("is_test")), features)
-    # Cached once; train and test are filters of it, and the learners block their own input.
-    ready = preparation.transform(parted).select("id", "label", "is_test", "features")
-    ready = ready.repartition(settings.splits, "id").sortWithinPartitions("id").persist()
+    # Cached once; train and test are filters of it.
+    ready = preparation.transform(parted).select("id", "label", "is_test", "features").persist()
     train = ready.filter(~F.col("is_test")).drop("is_test")
     test = ready.filter("is_test").drop("is_test")
     n = train.count()
-    fits = L.fitters(settings)
-    chosen = fit_rows(train, n, settings)
-    fitted = _run(spark, [lambda fit=fit: fit(*chosen) for fit in fits.values()], parallel)
-    models = dict(zip(fits, fitted))
+    data = L.Prepared(fit_rows(train, n, settings)[0], settings)
+    jobs = [lambda name=name: L.fit_folds(name, data, [NO_FOLD])[NO_FOLD] for name in settings.models]
+    models = dict(zip(settings.models, _run(spark, jobs, parallel)))
+    data.release()
     predictions = predict_all(test, models, ["id", "label"]).persist()
     return Comparison(
         features, preparation, models, train, test, predictions, n, [ready, predictions]
@@ -118,27 +117,30 @@ def compare(
 def cross_validate(
     train: DataFrame, settings: L.Settings, folds: int = 5, parallel: int = 4
 ) -> DataFrame:
-    """Fold accuracies (model, fold, accuracy, n) on the scaled train rows."""
+    """Fold accuracies (model, fold, accuracy, n) on the scaled train rows.
+
+    The fits of a family, one per left-out fold, advance in the same passes over one table of rows,
+    and the families side by side. Cuts of bins, landmarks and kernel width are those of all rows.
+    With ``fit_rows`` that table is cut so that each fit reads about so many; every row is scored.
+    """
     parted = stratified_folds(train, folds, seed=settings.seed).persist()
     sizes = {r["fold"]: r["count"] for r in parted.groupBy("fold").count().collect()}
-    total = sum(sizes.values())
-    fits = L.fitters(settings)
-
-    def job(fold: int, fit: Callable):
-        others = parted.filter(F.col("fold") != fold).drop("fold")
-        return lambda: fit(*fit_rows(others, total - sizes[fold], settings))
-
-    keys = [(fold, name) for fold in sorted(sizes) for name in fits]
-    fitted = dict(
-        zip(keys, _run(train.sparkSession, [job(f, fits[m]) for f, m in keys], parallel))
-    )
+    every = sorted(sizes)
+    few, total = parted, sum(sizes.values())
+    if settings.fit_rows is not None and total > (most := settings.fit_rows * folds // (folds - 1)):
+        # Another seed than that of the folds, which are runs of the hash order.
+        few = stratified_split(parted, fraction=most / total, seed=settings.seed + 1, out="_fit").filter("_fit").drop("_fit")
+    data = L.Prepared(few, settings, fold=F.col("fold"))
+    jobs = [lambda name=name: L.fit_folds(name, data, every) for name in settings.models]
+    fitted = dict(zip(settings.models, _run(train.sparkSession, jobs, parallel)))
+    data.release()
     held_out = [
         predict_all(
             parted.filter(F.col("fold") == fold),
-            {name: fitted[fold, name] for name in fits},
+            {name: fitted[name][fold] for name in settings.models},
             ["label", "fold"],
         )
-        for fold in sorted(sizes)
+        for fold in every
     ]
     together = held_out[0]
     for part in held_out[1:]:

@@ -1,6 +1,9 @@
 """Every query with SQL beside it gives the same rows on the smallest data set."""
 
 import math
+import shutil
+import subprocess
+import sys
 from collections import Counter
 from dataclasses import replace
 from pathlib import Path
@@ -17,8 +20,8 @@ ORACLES = oracles()
 @pytest.fixture(autouse=True)
 def short_fits(monkeypatch):
     """What the rows of the model queries say does not depend on how long the fits are."""
-    small = dict(trees=20, tree_depth=8, rounds=4, boost_depth=4, fourier_size=64, svm_iter=10, max_iter=100)
-    for name in ("RUN", "SCORER"):
+    small = dict(trees=20, tree_depth=8, rounds=4, boost_depth=4, landmarks=32, svm_iter=20, max_iter=100)
+    for name in ("RUN", "PAGES", "SCORER"):
         monkeypatch.setattr(queries, name, replace(getattr(queries, name), **small))
 
 
@@ -56,3 +59,16 @@ def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["id", "feature", "value", "severity"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("left", [[], ["corpus_pipeline.py"]])
+def test_entry_without_the_corpus_subpackage(tmp_path, left):
+    """A copy of the library without that subpackage still has all its own queries."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "linksift", tmp_path / "linksift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py", *left]:
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    told = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", told], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
+    assert out.split() == ["True", str(len(queries.QUERIES))]

@@ -9,7 +9,7 @@ from linksift.functions import vocabulary as V
 from linksift.functions.urls import with_url_features
 from linksift.operators import evaluate as E
 from linksift.operators import learners as L
-from linksift.operators.fourier import RandomFourierFeatures
+from linksift.operators import machines as M
 from linksift.plans import training as T
 from linksift.plans.scoring import score_links
 from linksift.sources.links import balanced_links
@@ -17,7 +17,7 @@ from linksift.sources import schemas, tables
 
 SMALL = L.Settings(
     max_iter=200, trees=10, tree_depth=6, rounds=5, boost_depth=3,
-    fourier_size=128, svm_iter=15, platt_folds=3,
+    landmarks=64, svm_iter=30, platt_folds=3,
 )
 
 
@@ -43,7 +43,7 @@ def test_logistic_regression_equals_newton(spark):
     df, x, y = rings(spark)
     y = ((x[:, 0] + 0.3 * x[:, 1] + np.random.default_rng(1).normal(size=len(x))) > 0).astype(float)
     labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id long, label int")
-    fitted = L.logistic_regression(len(x), L.Settings()).fit(df.drop("label").join(labels, "id"))
+    fitted = L.fit(L.LOGREG, df.drop("label").join(labels, "id"), L.Settings())
     # Newton steps on 0.5 |w|^2 + C * sum of log losses, intercept free, C = 1.
     full, w = np.c_[x, np.ones(len(x))], np.zeros(3)
     penalty = np.diag([1.0, 1.0, 0.0])
@@ -52,17 +52,22 @@ def test_logistic_regression_equals_newton(spark):
         w -= np.linalg.solve(
             full.T @ (full * (p * (1 - p))[:, None]) + penalty, full.T @ (p - y) + penalty @ w
         )
-    assert list(fitted.coefficients) + [fitted.intercept] == pytest.approx(list(w), abs=2e-4)
+    found = [*fitted.getOrDefault("weights"), fitted.getOrDefault("intercept")]
+    assert found == pytest.approx(list(w), abs=1e-6)
 
 
-def test_fourier_features_approach_the_kernel(spark):
-    df, x, _ = rings(spark, 60)
-    mapper = RandomFourierFeatures(
-        inputCol="features", outputCol="z", inputSize=2, outputSize=4096, gamma=0.5, seed=9
-    )
-    z = np.array([r[0] for r in mapper.transform(df.orderBy("id")).select(vector_to_array("z")).collect()])
-    exact = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(-1))
-    assert np.abs(z @ z.T - exact).max() < 0.1
+def test_landmarks_approach_the_kernel():
+    points = np.random.default_rng(3).normal(size=(300, 2))
+    exact, errors = M.kernel(points, points, 0.5), []
+    for count in (5, 20, 80, 300):
+        chosen = M.landmarks(points, count, 0.5)
+        z = M.kernel(points, chosen, 0.5) @ M.inverse_root(chosen, 0.5)
+        errors.append((1 - (z * z).sum(1)).mean())
+        # The stated error bounds that of the kernel values in the mean.
+        assert np.abs(z @ z.T - exact).mean() <= errors[-1] + 1e-9
+    assert errors == sorted(errors, reverse=True) and errors[-1] < 1e-4
+    twice = np.r_[points[:40], points[:40]]
+    assert len(M.landmarks(twice, 80, 0.5)) <= 40
 
 
 def exact_svm(x, y, gamma, c=1.0, steps=4000):
@@ -78,9 +83,10 @@ def exact_svm(x, y, gamma, c=1.0, steps=4000):
 
 def test_svm_agrees_with_the_exact_kernel_machine(spark):
     df, x, y = rings(spark)
-    d, gamma = L.kernel_width(df)
+    d, gamma = M.kernel_width(df)
     assert (d, gamma) == (2, pytest.approx(0.5))
-    model = L.fit_svm(df, len(x), L.Settings(fourier_size=256, svm_iter=40, platt_folds=3))
+    model = L.fit(L.SVM, df, L.Settings(landmarks=256, platt_folds=3))
+    assert model.getOrDefault("kernelError") < 1e-3
     rows = model.transform(df).orderBy("id").select(
         L.prediction_of(L.SVM), L.score_of(L.SVM)
     ).collect()
@@ -112,13 +118,15 @@ def test_importances_sum_to_one(spark, run):
 def test_cross_validation(spark, run):
     from dataclasses import replace
 
-    folds = T.cross_validate(run.train, replace(SMALL, models=[L.LOGREG]), 4)
+    folds = T.cross_validate(run.train, replace(SMALL, fit_rows=300), 4)
     rows = folds.collect()
-    assert sorted(r["fold"] for r in rows) == [0, 1, 2, 3]
-    got = E.cv_summary(folds, None).first()
-    values = [r["accuracy"] for r in rows]
-    assert got["cv_mean"] == pytest.approx(np.mean(values))
-    assert got["cv_std"] == pytest.approx(np.std(values))
+    assert sorted((r["model"], r["fold"]) for r in rows) == sorted((m, f) for m in L.MODEL_ORDER for f in range(4))
+    got = {r["model"]: r for r in E.cv_summary(folds, None).collect()}
+    for name in L.MODEL_ORDER:
+        values = [r["accuracy"] for r in rows if r["model"] == name]
+        assert got[name]["cv_mean"] == pytest.approx(np.mean(values)) > 0.9 and min(values) > 0.8
+        assert got[name]["cv_std"] == pytest.approx(np.std(values))
+        assert sum(r["n"] for r in rows if r["model"] == name) == 480
 
 
 def test_results_survive_a_round_trip(spark, run, tmp_path):
