@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(_wrapped(docs), ["_row"], least=1)
+    cleaned = line_dedup.dedup_lines(_wrapped(docs), ["_row"]).select("row._row", "text", "n_removed")
     row = F.col("_row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
