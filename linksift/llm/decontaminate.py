@@ -64,7 +64,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int = WINDOW, shingle: int = SHINGLE
 ) -> DataFrame:
-    """``columns`` of every document with n_words, n_hit, n_items, item_ids and contaminated."""
+    """row (the carried ``columns``), n_words, n_hit, n_items, item_ids and contaminated of every document."""
     spark = docs.sparkSession
     item_words = settle(item_windows(benchmark, window), "item-windows")
     windows = item_words.select("words", "phrase", "size").distinct()
@@ -112,7 +112,7 @@ def contamination(
     )
     hits = hits.select("_doc", "_a", "_b", covered.alias("n_hit"), "item_ids")
     base = docs.select(
-        F.struct(*columns).alias("_row"),
+        F.struct(*columns).alias("row"),
         F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
         F.col("doc_id").alias("_id"),
         F.xxhash64(text).alias("_x"),
@@ -121,7 +121,7 @@ def contamination(
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return base.join(hits, same, "left").select(
-        "_row.*",
+        "row",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),

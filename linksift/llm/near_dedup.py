@@ -12,11 +12,10 @@ probability 5e-8.
 Texts that are equal form one class first. Within a bucket of a band, classes are linked to one
 centre instead of to each other; a link counts once the full sets confirm it. The centre is the class
 that meets most others over all its buckets: where many copies of a text drift apart, that is the text
-itself, which is closer to each of them than they are to each other. Classes of a bucket that are in
-different components after that are compared in further rounds with other centres, drawn anew for
-every bucket, as long as rounds join components. Then the few classes that no centre has reached are
-compared with the classes of other components in their buckets, each pair in the first bucket that it
-shares. So no candidate link between different components is left out, and pairs within a component,
+itself, which is closer to each of them than they are to each other. Buckets whose classes are all in
+one component are done. The classes of the others are compared across components where they share one
+of their rarest shingles and the places of that shingle leave room for enough in common (prefix and
+positional filter, exact), so copies that have gone too far meet nobody, and pairs within a component,
 nearly all of a large group, are never made.
 
 A document without words has no set and is linked with nothing; its component is itself. A null
@@ -34,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linksift.llm.components import components
@@ -46,8 +46,6 @@ BINS = 128
 ROWS = 4
 SIMILAR = 80
 KNOWN_WORDS = 300_000
-#: Rounds of centres go on while they take away this share of the pairs that are left.
-PROGRESS = 0.25
 #: A side of a join is broadcast only up to so many rows (of an id and a hash).
 BROADCAST_ROWS = 300_000
 MASK = (1 << 64) - 1
@@ -201,35 +199,54 @@ def class_links(sketches: DataFrame, docs: DataFrame, shingle: int = SHINGLE, si
     )
     texts = settle(texts.select("class", "text").dropDuplicates(["class"]), "texts")
 
-    labels = docs.sparkSession.createDataFrame([], "node string, component string")
-    turn, before, last = 0, float("inf"), False
-    side = lambda x: mixed_now.select("bucket", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"))
-    while not last:
-        mixed_now = settle(_mixed_buckets(members, labels), "mixed") if turn else members.withColumn("label", F.col("class"))
-        if turn:
-            per_label = mixed_now.groupBy("bucket", "label").agg(F.count("*").cast("double").alias("k"))
-            per = per_label.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-            told = per.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
-            if not told["pairs"]:
-                break
-            last = told["pairs"] <= told["rows"] or told["pairs"] > (1 - PROGRESS) * before
-            before = told["pairs"]
-        if last:
-            all_buckets = lambda x: classes.select(F.col("class").alias(x), F.col("buckets").alias(f"buckets_{x}"))
-            first = lambda x: side(x).join(all_buckets(x), x)
-            shared = F.array_position(F.zip_with("buckets_a", "buckets_b", lambda p, q: p == q), F.lit(True))
-            here = F.array_position("buckets_a", F.col("bucket"))
-            met = first("a").join(first("b"), "bucket").where(F.col("a") < F.col("b")).where(shared == here)
-        else:
-            worth = F.xxhash64(F.lit(turn), "bucket", "class") if turn else F.col("degree")
-            each = F.struct(worth.alias("worth"), "class", "n", "label")
-            centre = mixed_now.groupBy("bucket").agg(F.max(each).alias("c"))
-            centre = centre.select("bucket", F.col("c.class").alias("b"), F.col("c.n").alias("n_b"), F.col("c.label").alias("label_b"))
-            met = side("a").join(centre, "bucket")
-        pairs = met.where("label_a != label_b").where(_near_in_size(similar)).select("a", "b").distinct()
-        labels = _relabelled(labels, settle(confirmed(pairs, texts, shingle, similar), "confirmed"))
-        turn += 1
-    return labels
+    each = F.struct("degree", "class", "n")
+    centre = members.groupBy("bucket").agg(F.max(each).alias("c")).select("bucket", F.col("c.class").alias("b"), F.col("c.n").alias("n_b"))
+    met = members.select("bucket", F.col("class").alias("a"), F.col("n").alias("n_a")).join(centre, "bucket")
+    pairs = met.where("a != b").where(_near_in_size(similar)).select("a", "b").distinct()
+    none = docs.sparkSession.createDataFrame([], "node string, component string")
+    labels = _relabelled(none, settle(confirmed(pairs, texts, shingle, similar), "confirmed"))
+    mixed_now = settle(_mixed_buckets(members, labels), "mixed")
+    if mixed_now.isEmpty():
+        return labels
+    pairs = settle(_crossing_pairs(mixed_now, texts, shingle, similar), "crossing")
+    return _relabelled(labels, settle(confirmed(pairs, texts, shingle, similar), "confirmed"))
+
+
+def _crossing_pairs(mixed_now: DataFrame, texts: DataFrame, shingle: int, similar: int) -> DataFrame:
+    """Pairs (a, b) of classes of the mixed buckets, in different components, that may be similar.
+
+    Shingles are ordered by the number of these classes that have them, then by hash. Two similar sets
+    share one among the first n - least overlap + 1 of each, with enough left behind it in both.
+    """
+    wanted = mixed_now.select("class", "n", "label").distinct().withColumn("id", F.monotonically_increasing_id())
+    wanted = settle(wanted, "wanted")
+    sides = wanted.groupBy("label").agg(F.min("id").alias("side"))
+    wanted = settle(wanted.join(sides, "label").select("id", "class", "n", "side"), "wanted")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = ShingleHashes(shingle)
+        for batch in batches:
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                found = hashes(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["id", "hash"])
+
+    own = texts.join(wanted.select("class", "id"), "class").select("id", "text")
+    each = settle(own.mapInArrow(hashed, "id long, hash long"), "shingles")
+    shared = each.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
+    of_one = W.partitionBy("id")
+    placed = each.join(shared, "hash").join(wanted.drop("class"), "id").select(
+        "hash", "id", "n", "side",
+        # Shingles that no other class has come first; they take places but meet nobody.
+        (F.col("n") - F.count("*").over(of_one) + F.row_number().over(of_one.orderBy("times", "hash")) - 1).alias("at"),
+    )
+    prefix = settle(placed.where(F.col("at") <= F.col("n") - F.ceil(similar * F.col("n") / 100)), "prefix")
+    of = lambda x: prefix.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "side", "at")))
+    n, m = F.col("n_a"), F.col("n_b")
+    enough = F.least(n - F.col("at_a"), m - F.col("at_b")) >= F.ceil(F.lit(similar) * (n + m) / F.lit(100 + similar))
+    met = of("a").join(of("b"), "hash").where("id_a < id_b and side_a != side_b").where(enough & _near_in_size(similar))
+    met = met.select("id_a", "id_b").distinct()
+    named = lambda x: wanted.select(F.col("id").alias(f"id_{x}"), F.col("class").alias(x))
+    return met.join(named("a"), "id_a").join(named("b"), "id_b").select("a", "b")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:

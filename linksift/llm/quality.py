@@ -1,7 +1,9 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per cost on a sample.
 
 A document without text, or without a word, has zero in every measure. A rule rejects or passes;
-the verdict is the same in any order, since a document is kept if no rule rejects it.
+the verdict is the same in any order, since a document is kept if no rule rejects it. Rules that tie
+keep the order of their names. Repeated rows are judged alike, texts of any length whole; an empty table
+gives no rows. Carried columns travel in the struct ``row``, so that no names clash.
 """
 
 from __future__ import annotations
@@ -152,18 +154,17 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SA
 def judge(
     docs: DataFrame, cascade: list[Rule], columns: list[str], measures: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``columns`` of ``docs`` with ``base_failed``, ``rejected_by`` and ``kept``.
+    """row (the carried ``columns``) with ``base_failed``, ``rejected_by`` and ``kept``.
 
     The base rules come first; a document that fails none of them goes through the cascade until
     a rule rejects it. ``rejected_by`` names the rule (null for kept documents). Measures asked
     for in ``measures`` are added for every document, else only what the rules need is worked out.
     """
-    source = docs.select("text", *(c for c in columns if c != "text"))
+    source = docs.select("text", F.struct(*columns).alias("row"))
     added = [(m, "long") for m in measures]
     added += [("base_failed", "boolean"), ("rejected_by", "string"), ("kept", "boolean")]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for c in columns for f in [source.schema[c]]]
-    schema += [f"{name} {kind}" for name, kind in added]
+    schema = [f"row {source.schema['row'].dataType.simpleString()}", *(f"{name} {kind}" for name, kind in added)]
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +175,8 @@ def judge(
                 by = base or next((r.name for r in cascade if r.rejects(m)), None)
                 rows.append((*(getattr(m, name) for name in measures), base is not None, by, by is None))
             found = list(zip(*rows)) or [()] * len(added)
-            arrays = [batch.column(c) for c in columns]
-            arrays += [pa.array(x, kinds[kind]) for x, (_, kind) in zip(found, added)]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, *(name for name, _ in added)])
+            arrays = [batch.column("row"), *(pa.array(x, kinds[kind]) for x, (_, kind) in zip(found, added))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", *(name for name, _ in added)])
 
     return source.mapInArrow(verdicts, ", ".join(schema))
 

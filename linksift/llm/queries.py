@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op1_quality_rules(spark, sf):
     judged = quality.quality_verdicts(table(spark, sf, "documents"), ["doc_id"], quality.MEASURES)
-    return judged.drop("rejected_by")
+    return judged.select("row.doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
 @query
@@ -79,7 +79,7 @@ def op5_decontaminated(spark, sf):
         table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"]
     )
     ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
 
 
 @query
@@ -115,7 +115,8 @@ def op9_similar_lines(spark, sf):
 
 @query
 def op10_repeated_spans(spark, sf):
-    return suffix_dedup.without_repeats(table(spark, sf, "documents"), ["doc_id"]).drop("kept")
+    found = suffix_dedup.without_repeats(table(spark, sf, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 @query

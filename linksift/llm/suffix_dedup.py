@@ -17,6 +17,7 @@ not gathered in a task: their strings are counted by 128-bit hashes instead, wit
 
 Null and empty texts have no bytes and lose none. Rows with equal texts are copies of each other
 (also if their ids are equal), so they go wholly from ``LENGTH`` bytes on. Empty tables give no rows.
+Carried columns travel in the struct ``row``, so that no names clash.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 RUN = pa.schema(
-    [("text_key", pa.string()), ("start", pa.int64()), ("count", pa.int32()), ("ahead", pa.int32()), ("anchor", pa.int64()), ("run", pa.binary())]
+    [("text_key", pa.binary()), ("start", pa.int64()), ("count", pa.int32()), ("ahead", pa.int32()), ("anchor", pa.int64()), ("run", pa.binary())]
 )
 PIECE = pa.schema(
     [("anchor", pa.int64()), ("run", pa.binary()), ("count", pa.int32()), ("ahead", pa.int32()), ("bytes", pa.binary())]
@@ -134,7 +135,8 @@ def text_runs(docs: DataFrame) -> DataFrame:
 
 
 def text_key():
-    return F.md5(F.coalesce("text", F.lit("")))
+    """16 bytes that equal texts share."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def cover_ranks(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -295,29 +297,31 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     place = F.struct("text_key", "start", "count", "ahead")
     kinds = settle(runs.groupBy("anchor", "run").agg((F.count("*") > 1).alias("again"), F.min(place).alias("place")), "kinds")
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = kinds.join(sizes, "anchor").select("anchor", "run", "kinds", "place.*")
-    pieces = settle(_pieces(docs, mixed).join(sizes, "anchor"), "pieces")
-    sorted_in = pieces.where(F.col("kinds") <= BUCKET_RUNS).select(*PIECE.names).repartition("anchor")
-    marked = sorted_in.sortWithinPartitions("anchor").mapInArrow(_sort_blocks, _ddl(MARKED))
-    large = pieces.where(F.col("kinds") > BUCKET_RUNS).select(*PIECE.names)
+    mixed = settle(kinds.join(sizes, "anchor").select("anchor", "run", "kinds", "place.*"), "mixed")
+    # The bytes are cut once and go straight to the task that sorts their bucket.
+    pieces = _pieces(docs, mixed.where(F.col("kinds") <= BUCKET_RUNS)).repartition("anchor")
+    marked = pieces.sortWithinPartitions("anchor").mapInArrow(_sort_blocks, _ddl(MARKED))
+    large = mixed.where(F.col("kinds") > BUCKET_RUNS)
+    if not large.isEmpty():
+        marked = marked.union(_by_hashes(_pieces(docs, large)))
     whole = kinds.where("again").select("anchor", "run", F.lit(0).alias("first"), (F.col("place.count") - 1).alias("last"))
-    marked = settle(whole.union(marked).union(_by_hashes(large)), "marked")
+    marked = settle(whole.union(marked), "marked")
 
-    distinct = runs.select("text_key", "start", "anchor", "run").distinct()
-    found = distinct.join(marked, ["anchor", "run"]).select(
+    # Copies of a text have equal rows here; the spans of a text are made distinct when they are gathered.
+    found = runs.join(marked, ["anchor", "run"]).select(
         "text_key",
         F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b")).alias("span"),
     )
-    return found.groupBy("text_key").agg(F.collect_list("span").alias("spans"))
+    return found.groupBy("text_key").agg(F.collect_set("span").alias("spans"))
 
 
 def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of every document, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256."""
+    """row (the carried ``columns``), n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256 of every document."""
     spans = settle(repeated_spans(docs), "spans")
     spans = _small(spans, F.size("spans"))
-    source = docs.select("text", F.struct(*columns).alias("_row"), text_key().alias("_key"))
+    source = docs.select("text", F.struct(*columns).alias("row"), text_key().alias("_key"))
     joined = source.join(spans.withColumnRenamed("text_key", "_of"), F.col("_key") == F.col("_of"), "left").drop("_key", "_of")
-    schema = f"_row {source.schema['_row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long"
+    schema = f"row {source.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long"
     added = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,8 +337,7 @@ def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
                 kept = b"".join([*parts, data[at:]])
                 rows.append((len(data), len(data) - len(kept), n_spans, kept, hashlib.sha256(kept).hexdigest()))
             found = list(zip(*rows)) or [()] * len(added)
-            arrays = [batch.column("_row"), *(pa.array(x, kind) for x, (_, kind) in zip(found, added))]
-            yield pa.RecordBatch.from_arrays(arrays, ["_row", *(name for name, _ in added)])
+            arrays = [batch.column("row"), *(pa.array(x, kind) for x, (_, kind) in zip(found, added))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", *(name for name, _ in added)])
 
-    found = joined.mapInArrow(cut, f"{schema}, kept binary, kept_sha256 string")
-    return found.select("_row.*", *(name for name, _ in added))
+    return joined.mapInArrow(cut, f"{schema}, kept binary, kept_sha256 string")

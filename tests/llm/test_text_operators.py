@@ -14,8 +14,9 @@ ITEMS = [(1, None), (2, "..."), (None, "an item without id"), (3, "one"), (3, "o
 
 
 def test_quality_rules(odd_docs, odd_rows):
-    got = quality.quality_verdicts(odd_docs, ["doc_id"], quality.MEASURES).collect()
-    have = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got)
+    got = quality.quality_verdicts(odd_docs, odd_docs.columns, quality.MEASURES).collect()
+    assert all(r.row.kept in ("no", None) and r.row.n_words in (1, None) for r in got)
+    have = Counter((r.row.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got)
     assert have == Counter((r[0], *brute.quality(r[1])) for r in odd_rows)
 
 
@@ -48,10 +49,8 @@ def test_decontamination(spark, odd_docs, odd_rows, pairs, monkeypatch, broadcas
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     items = items_for(pairs)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(odd_docs, benchmark, ["doc_id", "n_words"]).toDF(
-        "doc_id", "clash", "n_words", "n_hit", "n_items", "item_ids", "contaminated"
-    )
-    have = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in got.collect())
+    got = decontaminate.contamination(odd_docs, benchmark, ["doc_id", "n_words"])
+    have = Counter((r.row.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in got.collect())
     want = Counter()
     for row in odd_rows:
         n, hit, ids, bad = brute.contamination(row[1], items)
@@ -133,10 +132,11 @@ def test_similar_lines(docs, pairs, monkeypatch, broadcast):
     assert sum(want[k] != t for k, t in pairs) > 30
 
 
-@pytest.mark.parametrize("hot,frequent", [(3, 50), (0, 10), (100_000, 0)])
+@pytest.mark.parametrize("hot,frequent", [(3, (64, 64)), (0, (2, 16)), (100_000, (1, 1))])
 def test_similar_lines_whatever_counts_as_frequent(docs, pairs, monkeypatch, hot, frequent):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(line_dedup, "LONG", 12)
     got = {r.row.doc_id: r.text for r in line_dedup.dedup_lines(docs, ["doc_id"]).collect()}
     assert got == brute.similar_lines(pairs)
 
@@ -182,7 +182,7 @@ def test_short_lines_go_too(spark):
 def test_repeated_spans(docs, pairs):
     want = brute.repeated_spans(pairs)
     got = suffix_dedup.without_repeats(docs, ["doc_id"]).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
@@ -190,12 +190,14 @@ def test_repeated_spans_in_large_buckets(docs, pairs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET_RUNS", 2)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
     got = suffix_dedup.without_repeats(docs, ["doc_id"]).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeated_spans(pairs)
+    assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeated_spans(pairs)
 
 
 def test_repeated_spans_of_odd_rows(odd_docs, odd_rows):
-    got = suffix_dedup.without_repeats(odd_docs, ["doc_id"]).collect()
-    assert Counter((r.doc_id, r.n_bytes) for r in got) == Counter((r[0], len((r[1] or "").encode())) for r in odd_rows)
+    got = suffix_dedup.without_repeats(odd_docs, ["doc_id", "size"]).collect()
+    plain = brute.repeated_spans([(i, r[1]) for i, r in enumerate(odd_rows)])
+    want = Counter((r[0], *plain[i]) for i, r in enumerate(odd_rows))
+    assert Counter((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
 def test_anchors_across_chunks(monkeypatch):
