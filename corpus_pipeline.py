@@ -25,7 +25,7 @@ def _wrapped(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality_verdicts(_wrapped(docs), ["_row"]).where("kept").select("_row.*")
+    return quality.quality_verdicts(_wrapped(docs), ["_row"]).where("kept").select("row._row.*")
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contamination(_wrapped(docs), benchmark, ["_row"])
-    return found.where("not contaminated").select("_row.*")
+    return found.where("not contaminated").select("row._row.*")
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linksift.functions.draws import row_hash
+from linksift.session import settled
 
 PREFIX_STEP = 3
 HASH_DIGITS = 32
 SORTED_ROWS = 100_000
+#: Classes whose cuts are written as literals, and those whose table of cuts is broadcast.
+FEW_CLASSES = 100
+BROADCAST_CLASSES = 500_000
 
 Counts = dict[object, int]
 Ranks = dict[object, list[int]]
@@ -119,6 +123,59 @@ def held_out_sizes(sizes: Counts, fraction: float) -> Counts:
     return taken
 
 
+def in_order(table: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number the rows of a table 0, 1, 2, ... in an order, range by range."""
+    placed = settled(table.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, rest = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))  # one row per range
+    numbered = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(out, F.col("_start") + rest).drop("_at", "_part", "_start")
+
+
+def held_out_table(sizes: DataFrame, fraction: float) -> DataFrame:
+    """(label, rank): as ``held_out_sizes``, for any number of classes; classes without test rows are left out."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    n_test = -int(-(fraction * total) // 1)
+    share = F.lit(n_test) * F.col("n") / F.lit(float(total))
+    shares = settled(sizes.withColumn("whole", F.floor(share)).withColumn("rest", share - F.col("whole")))
+    more = n_test - (shares.agg(F.sum("whole")).first()[0] or 0)
+    ordered = in_order(shares, [F.desc("rest"), F.asc("label")], "place")
+    rank = F.col("whole") + F.when(F.col("place") < more, 1).otherwise(0)
+    return settled(ordered.select("label", rank.alias("rank")).where("rank > 0"))
+
+
+def class_cuts(
+    df: DataFrame, id_col: str, label: str, seed: int, wanted: DataFrame, sorted_rows: int = SORTED_ROWS
+) -> DataFrame:
+    """(label, rank, cut): the hash at each wanted 1-based rank, with all classes narrowed in one grouped job.
+
+    As ``hash_cutoffs``, but the open ranks are a table; nothing is kept per class on the driver.
+    """
+    keyed = df.select(F.col(label).alias("label"), row_hash(seed, F.col(id_col)).alias("key"))
+    state = wanted.select("label", "rank", F.lit("").alias("prefix"), F.col("rank").alias("inside"))
+    digits, largest = 0, None
+    while largest is None or (largest > sorted_rows and digits < HASH_DIGITS):
+        above, digits = digits, min(HASH_DIGITS, digits + PREFIX_STEP)
+        open_prefixes = state.select("label", F.col("prefix").alias("up")).distinct()
+        rows = keyed.select("label", F.substring("key", 1, above).alias("up"), F.substring("key", 1, digits).alias("long"))
+        counts = rows.join(open_prefixes, ["label", "up"], "left_semi").groupBy("label", "up", "long").agg(F.count("*").alias("n"))
+        ahead = Window.partitionBy("label", "up").orderBy("long").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        met = state.withColumnRenamed("prefix", "up").join(counts, ["label", "up"])
+        met = met.where((F.col("before") < F.col("inside")) & (F.col("inside") <= F.col("before") + F.col("n")))
+        placed = settled(met.select("label", "rank", F.col("long").alias("prefix"), (F.col("inside") - F.col("before")).alias("inside"), "n"))
+        largest = placed.agg(F.max("n")).first()[0] or 0
+        state = placed.drop("n")
+    if digits == HASH_DIGITS:  # rows of one id: the whole hash is the cut
+        return state.select("label", "rank", F.col("prefix").alias("cut"))
+    rows = keyed.withColumn("prefix", F.substring("key", 1, digits)).join(state.select("label", "prefix").distinct(), ["label", "prefix"], "left_semi")
+    number = F.row_number().over(Window.partitionBy("label", "prefix").orderBy("key"))
+    hits = rows.withColumn("inside", number.cast("long"))
+    return settled(state.join(hits, ["label", "prefix", "inside"]).select("label", "rank", F.col("key").alias("cut")))
+
+
 def stratified_split(
     df: DataFrame,
     id_col: str = "id",
@@ -128,16 +185,32 @@ def stratified_split(
     out: str = "is_test",
     sorted_rows: int = SORTED_ROWS,
 ) -> DataFrame:
-    """Flag exactly the wanted number of rows of each class as test rows."""
-    want: Counts = {}
+    """Flag exactly the wanted number of rows of each class as test rows.
 
-    def ranks(sizes: Counts) -> Ranks:
-        want.update(held_out_sizes(sizes, fraction))
-        return {k: [n] for k, n in want.items()}
-
-    _, cuts = hash_cutoffs(df, id_col, label, seed, ranks, sorted_rows)
-    flag = _upto(label, {k: cut for (k, _), cut in cuts.items()})
-    return df.withColumn("_key", row_hash(seed, F.col(id_col))).withColumn(out, flag).drop("_key")
+    Up to ``FEW_CLASSES`` classes the cuts are literals; beyond that a table joined on the class. Both
+    give the same rows.
+    """
+    few = df.select(label).distinct().limit(FEW_CLASSES + 1).count() <= FEW_CLASSES
+    keyed = df.withColumn("_key", row_hash(seed, F.col(id_col)))
+    if few:
+        want: Counts = {}
+
+        def ranks(sizes: Counts) -> Ranks:
+            want.update(held_out_sizes(sizes, fraction))
+            return {k: [n] for k, n in want.items()}
+
+        _, cuts = hash_cutoffs(df, id_col, label, seed, ranks, sorted_rows)
+        flag = _upto(label, {k: cut for (k, _), cut in cuts.items()})
+        return keyed.withColumn(out, flag).drop("_key")
+    sizes = settled(df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")))
+    if missing := sizes.where("label is null").agg(F.sum("n")).first()[0]:
+        raise ValueError(f"{missing} rows have no {label}")
+    cuts = class_cuts(df, id_col, label, seed, held_out_table(sizes, fraction), sorted_rows)
+    cuts = cuts.select(F.col("label").alias("_label"), "cut")
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_CLASSES else cuts
+    # A class without test rows has no cut.
+    joined = keyed.join(cuts, F.col(label) == F.col("_label"), "left")
+    return joined.withColumn(out, F.coalesce(F.col("_key") <= F.col("cut"), F.lit(False))).drop("_key", "_label", "cut")
 
 
 def fold_sizes(sizes: Counts, k: int) -> dict[object, list[int]]:
@@ -189,7 +262,7 @@ def sample_per_class(
 
     One scan: every task keeps its own lowest rows of each class before the shuffle.
     """
-    lowest = Window.partitionBy(label).orderBy(row_hash(seed, F.col(id_col)))
+    lowest = Window.partitionBy(label).orderBy(row_hash(seed, F.col(id_col)), id_col, F.xxhash64(*df.columns))
     placed = df.withColumn("_place", F.row_number().over(lowest))
     return placed.filter(F.col("_place") <= per_class).drop("_place")
 

@@ -264,6 +264,8 @@ _SPLIT = _split(_links())
 _NOISY = f"""(SELECT id, url, CASE WHEN wrong THEN 1 - label ELSE label END AS label, wrong
   FROM (SELECT *, ('0x' || substr(md5('11:noise:' || id), 1, 8))::BIGINT % 10 = 0 AS wrong
     FROM {_links()}))"""
+_MANY = """(SELECT (l_orderkey * 8 + l_linenumber) * 16 + k AS id, (l_orderkey * 8 + l_linenumber) * 2 + k % 2 AS label
+  FROM lineitem, range(0, 11) AS s(k))"""
 _WIDE = "(SELECT vec_id AS id, (label < 5)::INT AS label FROM embeddings)"
 
 
@@ -427,6 +429,7 @@ def oracles() -> dict[str, str]:
         "head_features": f"SELECT * FROM {features} ORDER BY id LIMIT 3",
         "first_examples": f"SELECT label, arg_min(url, id) AS url FROM {_links()} GROUP BY label",
         "stratified_split": f"SELECT * FROM {_SPLIT}",
+        "stratified_split_of_many_classes": f"SELECT * FROM {_split(_MANY)}",
         "stratified_folds": f"SELECT * FROM {_folds(_links())}",
         "sample_per_class": f"""SELECT id, url, label FROM (SELECT *, row_number() OVER (
           PARTITION BY label ORDER BY md5('99:' || id)) AS rn FROM {_links()}) WHERE rn <= 5""",
@@ -436,6 +439,10 @@ def oracles() -> dict[str, str]:
         "class_scores_other_polarity": f"SELECT * FROM {_scores(0)}",
         "roc_points": f"SELECT * FROM {_roc()}",
         "roc_points_all": f"SELECT * FROM {_roc(False)}",
+        "roc_points_bounded": f"""SELECT model, rank, threshold, fpr, tpr, TRUE AS area_ok FROM (
+          SELECT *, row_number() OVER (PARTITION BY model, floor(fpr / 0.05), floor(tpr / 0.05) ORDER BY rank) AS first,
+            row_number() OVER (PARTITION BY model, floor(fpr / 0.05), floor(tpr / 0.05) ORDER BY rank DESC) AS last
+          FROM {_roc(False)}) WHERE first = 1 OR last = 1""",
         "roc_auc": f"SELECT * FROM {_auc(digits=9)}",
         "roc_auc_other_polarity": f"SELECT * FROM {_auc(0)}",
         "metrics_table": f"SELECT * FROM {_METRICS}",
@@ -483,6 +490,8 @@ def oracles() -> dict[str, str]:
         "csv_features": f"SELECT *, FALSE AS is_bad FROM {features}",
         "csv_features_without_ids": f"""SELECT label, count(*) AS n, count(*) AS n_ids,
           {', '.join(f'sum({f})::BIGINT AS {f}' for f in V.FEATURES)} FROM {features} GROUP BY label""",
+        "csv_of_another_tool": """SELECT page_id, md5(url || chr(10) || '"x", y') AS link_md5, md5(html) AS html_md5,
+          page_id / 4.0 AS quarter, FALSE AS is_bad FROM pages""",
         "json_metrics": f"SELECT * FROM {_METRICS}",
         "json_roc": f"""SELECT model, count(*) AS n, max(rank) AS last_rank,
           round(sum(fpr), 4) AS sum_fpr, round(sum(tpr), 4) AS sum_tpr FROM {_roc()} GROUP BY model""",
@@ -505,6 +514,9 @@ def oracles() -> dict[str, str]:
         "scored_rejects": f"""SELECT id, url, label, CASE WHEN url IS NULL THEN 'no url'
           ELSE 'blank url' END AS reason FROM {_ODD} WHERE url IS NULL OR length({_TRIMMED}) = 0""",
         "stream_scored_links": _scored_summary("(SELECT page_id, url FROM pages)", "page_id"),
+        "stream_scores_and_rejects": """SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN url WHEN page_id % 8 = 0 THEN ' ' END AS url,
+          CASE WHEN page_id % 8 = 0 THEN 'blank url' WHEN page_id % 4 = 0 THEN 'no url' END AS reason, TRUE AS verdict_ok
+          FROM pages""",
         "stream_rejects": """SELECT page_id, CASE WHEN page_id % 8 = 0 THEN ' ' END AS url,
           CASE WHEN page_id % 8 = 0 THEN 'blank url' ELSE 'no url' END AS reason
           FROM pages WHERE page_id % 4 = 0""",

@@ -20,11 +20,11 @@ from linksift.operators import split as S
 from linksift.operators.scale import fit_scaler, scaled_names
 from linksift.plans import inputs as I
 from linksift.plans import training
-from linksift.plans.scoring import score_links, score_rejects
+from linksift.plans.scoring import reject_reason, score_links, score_rejects
 from linksift.session import numbered, scratch_path, settled
 from linksift.sources import links as G
-from linksift.sources import schemas, tables
-from linksift.streaming.feed import link_stream, run_feed
+from linksift.sources import records, schemas, tables
+from linksift.streaming.feed import GOOD, REJECTED, link_stream, read_split, run_feed, run_split_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,6 +212,12 @@ def stratified_split(spark, sf):
     return S.stratified_split(I.links(spark, sf)).select("id", "label", "is_test")
 
 
+@query
+def stratified_split_of_many_classes(spark, sf):
+    """Five rows in each of two classes per order line, some with six."""
+    return S.stratified_split(I.many_classes(spark, sf))
+
+
 @query
 def stratified_folds(spark, sf):
     return S.stratified_folds(I.links(spark, sf)).select("id", "label", "fold")
@@ -260,6 +266,16 @@ def roc_points_all(spark, sf):
     return E.roc_curve(I.scored(spark, sf), thin=False)
 
 
+@query
+def roc_points_bounded(spark, sf):
+    """A curve of few points, and how far its area is from the whole one's."""
+    scored = I.scored(spark, sf)
+    few = settled(E.bounded_curve(E.roc_curve(scored, thin=False), 0.05))
+    areas = E.curve_area(few).join(E.auc(scored, digits=None), "model")
+    close = areas.select("model", (F.abs(F.col("area") - F.col("auc_roc")) <= 0.05).alias("area_ok"))
+    return few.join(F.broadcast(close), "model")
+
+
 @query
 def roc_auc(spark, sf):
     return E.auc(I.scored(spark, sf), digits=None).withColumn("auc_roc", F.round("auc_roc", 9))
@@ -420,6 +436,23 @@ def csv_features_without_ids(spark, sf):
     )
 
 
+@query
+def csv_of_another_tool(spark, sf):
+    """Pages with their HTML as plain CSV: line breaks and quotes in quoted text, columns not declared."""
+    path = scratch_path(spark, "foreign")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    own = pages.select("page_id", F.concat("url", F.lit('\n"x", y')).alias("link, as met"), "html", (F.col("page_id") / 4).alias("quarter"))
+    own.write.options(header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    read = records.read_records(spark, path)
+    return read.select(
+        "page_id",
+        F.md5(F.col("link, as met")).alias("link_md5"),
+        F.md5("html").alias("html_md5"),
+        "quarter",
+        F.col(tables.BAD_ROW).isNotNull().alias("is_bad"),
+    )
+
+
 @query
 def json_metrics(spark, sf):
     path = scratch_path(spark, "metrics")
@@ -619,6 +652,21 @@ def stream_scored_links(spark, sf):
     return _scored_summary(_feed(spark, sf, lambda df: score_links(df, model)), "page_id")
 
 
+@query
+def stream_scores_and_rejects(spark, sf):
+    """Both results of one run over a feed in which every fourth link is blank or missing."""
+    model, out, state = _scorer(spark, sf), scratch_path(spark, "split-feed"), scratch_path(spark, "split-state")
+    gap = F.when(F.col("page_id") % 4 == 0, F.when(F.col("page_id") % 8 == 0, " ")).otherwise(F.col("url"))
+    stream = link_stream(spark, sf, PAGE_ROWS, "pages.parquet").withColumn("url", gap)
+    judge = lambda df: score_links(df, model)
+    run_split_feed(stream, judge, lambda df: reject_reason(), out, state).awaitTermination()
+    scored = read_split(spark, out, GOOD, judge(spark.createDataFrame([], PAGE_ROWS)).schema)
+    rejected = read_split(spark, out, REJECTED, T.StructType([*PAGE_ROWS.fields, T.StructField("reason", T.StringType())]))
+    verdict = F.col("prediction").isin("PHISHING", "SAFE") & F.col("confidence").between(0.5, 1.0)
+    good = scored.select("page_id", "url", F.lit(None).cast("string").alias("reason"), verdict.alias("verdict_ok"))
+    return good.union(rejected.select("page_id", "url", "reason", F.lit(True)))
+
+
 @query
 def stream_rejects(spark, sf):
     """Rejects of a feed in which every fourth link is blank or missing."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linksift.functions.urls import BLANKS, split_rejects, typed_urls, with_url_features
@@ -14,9 +14,13 @@ from linksift.operators import report as R
 
 def score_rejects(df: DataFrame, strip: bool = True, url: str = "url") -> DataFrame:
     """The rows that ``score_links`` leaves out, with the reason; the same for a table and a stream."""
+    return df.withColumn("reason", reject_reason(strip, url)).filter(F.col("reason").isNotNull())
+
+
+def reject_reason(strip: bool = True, url: str = "url") -> Column:
+    """Why a row cannot be scored; null if it can."""
     text = F.trim(F.col(url), F.lit(BLANKS)) if strip else F.col(url)
-    reason = F.when(F.col(url).isNull(), "no url").when(F.length(text) == 0, "blank url")
-    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return F.when(F.col(url).isNull(), "no url").when(F.length(text) == 0, "blank url")
 
 
 def score_links(

@@ -20,6 +20,7 @@ from linksift.operators.scale import fit_scaler, scaled_names
 from linksift.operators.split import sample_per_class, stratified_folds, stratified_split
 from linksift.session import settled, shared_dir
 from linksift.sources import tables
+from linksift.sources.publish import current, publish
 
 
 def feature_columns(df: DataFrame, label: str = "label", id_col: str = "id") -> list[str]:
@@ -200,13 +201,17 @@ def save_results(
     )
     tables.write_json(names, f"{path}/feature_names")
     best = E.best_model(metrics, L.MODEL_ORDER).first()["model"]
-    comparison.scorer(best).write().overwrite().save(f"{path}/model")
+    publish(spark, f"{path}/model", lambda folder: comparison.scorer(best).write().save(folder))
     return best
 
 
 def load_model(path: str) -> PipelineModel:
-    """The saved model, or a clear error if there is none; other faults come through."""
+    """The saved model, or a clear error if there is none; other faults come through.
+
+    A load during a save gets the model before it or the new one.
+    """
     spark = SparkSession.active()
+    path = current(spark, path) or path
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):

@@ -109,9 +109,10 @@ def phishing_links(
     id_col: str = "id",
     seed: int = 42,
     brands: list[str] = V.SHORT_PHISHING_BRANDS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, url, label 1) over four host patterns with equal rates."""
-    table = _with_draws(ids.select(F.col(id_col).alias("id")), "id", seed, "phish", 4)
+    """(id, url, label 1) over four host patterns with equal rates, and the columns to ``keep``."""
+    table = _with_draws(ids.select(F.col(id_col).alias("id"), *keep), "id", seed, "phish", 4)
     # Distinct keywords: each next word is picked from what the words before it left over.
     words = F.lit(V.PHISHING_KEYWORDS)
     n = len(V.PHISHING_KEYWORDS)
@@ -179,7 +180,7 @@ def phishing_links(
         pick(V.PHISHING_PROTOCOLS, _drawn(0)), host, pick(V.PHISHING_PATHS, _drawn(10)), query
     )
     url = F.when(pattern == 2, numeric).otherwise(named)
-    return table.select("id", url.alias("url"), F.lit(PHISHING).alias("label"))
+    return table.select("id", url.alias("url"), F.lit(PHISHING).alias("label"), *keep)
 
 
 def balanced_links(
@@ -189,9 +190,8 @@ def balanced_links(
     style: LegitStyle = LONG,
     brands: list[str] = V.SHORT_PHISHING_BRANDS,
 ) -> DataFrame:
-    """One legitimate and one phishing link per id; new ids stay unique."""
-    legit = legit_links(ids, id_col, seed, style)
-    phishing = phishing_links(ids, id_col, seed, brands)
-    return legit.withColumn("id", F.col("id") * 2).unionByName(
-        phishing.withColumn("id", F.col("id") * 2 + 1)
-    )
+    """One legitimate and one phishing link per id, from one scan; new ids stay unique."""
+    legit = legit_links(ids, id_col, seed, style).select("id", F.col("url").alias("_legit"))
+    both = phishing_links(legit, "id", seed, brands, ("_legit",))
+    link = lambda at, url, label: F.struct((F.col("id") * 2 + at).alias("id"), F.col(url).alias("url"), F.lit(label).alias("label"))
+    return both.select(F.inline(F.array(link(0, "_legit", LEGIT), link(1, "url", PHISHING))))

@@ -119,21 +119,18 @@ def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
 
 
-def column_types(table: DataFrame) -> dict[str, str]:
-    """The narrowest of bigint, double and string that holds every value of each text column.
+def column_types(table: DataFrame) -> list[str]:
+    """For each text column the narrowest of bigint, double and string that holds all its values.
 
     One pass: a column is as wide as its widest value, and sides of the aggregate join as they meet.
     A column without a value is a string.
     """
-    wide = lambda c, kind: F.max((F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` AS {kind})").isNull()).cast("int"))
-    aggregates = []
-    for i, c in enumerate(table.columns):
-        aggregates += [wide(c, "bigint").alias(f"long_{i}"), wide(c, "double").alias(f"double_{i}"), F.count(c).alias(f"n_{i}")]
-    told = table.agg(*aggregates).first()
-    out = {}
-    for i, c in enumerate(table.columns):
-        kinds = [kind for kind, key in (("bigint", "long"), ("double", "double")) if told[f"n_{i}"] and not told[f"{key}_{i}"]]
-        out[c] = kinds[0] if kinds else "string"
+    table = table.toDF(*[f"c{i}" for i in range(len(table.columns))])
+    fails = lambda c, kind: F.max((F.col(c).isNotNull() & F.expr(f"try_cast({c} AS {kind})").isNull()).cast("int"))
+    told = table.agg(*[x for c in table.columns for x in (F.count(c), fails(c, "bigint"), fails(c, "double"))]).first()
+    out = []
+    for values, no_long, no_double in zip(told[0::3], told[1::3], told[2::3]):
+        out.append("string" if not values or no_double else "double" if no_long else "bigint")
     return out
 
 
@@ -146,6 +143,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | None = N
     names, cut = _names(settled(records(spark, path)))
     if schema is None:
         texts = T.StructType([T.StructField(name, T.StringType()) for name in names])
-        kinds = column_types(_parsed(cut, texts, null).drop(BAD_ROW))
-        schema = T.StructType([T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items()])
+        kinds = {"bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+        found = column_types(_parsed(cut, texts, null).drop(BAD_ROW))
+        schema = T.StructType([T.StructField(name, kinds[kind]) for name, kind in zip(names, found)])
     return _parsed(cut, schema, null)

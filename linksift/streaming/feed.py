@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,3 +41,45 @@ def run_feed(
     )
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
+
+
+GOOD, REJECTED = "scored", "rejected"
+
+
+def run_split_feed(
+    stream: DataFrame,
+    job: Callable[[DataFrame], DataFrame],
+    reason: Callable[[DataFrame], Column],
+    out: str,
+    checkpoint: str,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """One pass over a feed with two results: ``job`` of its good rows, and the rejects with a reason.
+
+    ``reason`` gives a column that is null for good rows. A micro-batch is tagged once, kept while both
+    results are made from it, and written in one job below ``kind=<result>/batch=<id>``, replacing what
+    an earlier try of the same batch left there. So after a restart in mid-batch no row is lost or
+    written twice. ``read_split`` reads the results.
+    """
+
+    def both(batch: DataFrame, number: int) -> None:
+        tagged = batch.withColumn("reason", reason(batch)).persist()
+        try:
+            good = job(tagged.where("reason is null").drop("reason"))
+            bad = tagged.where("reason is not null")
+            kind = lambda df, name: df.withColumns({"kind": F.lit(name), "batch": F.lit(number).cast("long")})
+            rows = kind(good, GOOD).unionByName(kind(bad, REJECTED), allowMissingColumns=True)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "batch").parquet(out)
+        finally:
+            tagged.unpersist()
+
+    writer = stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
+
+
+def read_split(spark: SparkSession, out: str, kind: str, columns: T.StructType) -> DataFrame:
+    """The rows of one result of ``run_split_feed``, with the batch that each came in."""
+    partitions = [T.StructField("kind", T.StringType()), T.StructField("batch", T.LongType())]
+    rows = spark.read.schema(T.StructType([*columns.fields, *partitions])).parquet(out)
+    return rows.where(F.col("kind") == kind).drop("kind")

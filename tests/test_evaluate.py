@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,23 @@ def test_null_is_not_judged(spark):
     p, y, s = F.col("prediction"), F.col("label"), F.col("score")
     told = df.select(R.class_name(p), R.hit_mark(p, y), R.confidence(p, s), R.yes_no(p)).first()
     assert tuple(told) == (None,) * 4
+
+
+@pytest.mark.parametrize("step", [0.3, 0.05, 0.004])
+def test_bounded_curves_stay_within_their_error(spark, step):
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 2, 4000)
+    scores = np.round(labels * 0.4 + rng.normal(size=4000), 4)
+    rows = [("m", int(y), int(s > 0), float(s)) for y, s in zip(labels, scores)]
+    df = spark.createDataFrame(rows, "model string, label int, prediction int, score double")
+    whole = [(r["fpr"], r["tpr"]) for r in E.roc_curve(df, thin=False).orderBy("rank").collect()]
+    few = E.bounded_curve(E.roc_curve(df, thin=False), step)
+    points = [(r["fpr"], r["tpr"]) for r in few.orderBy("rank").collect()]
+    assert len(points) <= 4 / step + 4 and points[0] == (0, 0) and points[-1] == (1, 1) and set(points) <= set(whole)
+    x, y = np.array(points).T
+    for fpr, tpr in whole:
+        assert np.hypot(x - fpr, y - tpr).min() <= np.sqrt(2) * step
+        low, high = y[np.searchsorted(x, fpr, "left") - 1 if fpr > 0 else 0], y[min(len(y) - 1, np.searchsorted(x, fpr, "right"))]
+        assert low - 1e-12 <= tpr <= high + 1e-12
+    exact = E.auc(df, digits=None).first()["auc_roc"]
+    assert abs(E.curve_area(few).first()["area"] - exact) <= step

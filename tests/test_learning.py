@@ -1,5 +1,8 @@
 """The learners against plain numpy solutions, and the jobs built from them."""
 
+from pathlib import Path
+from threading import Event, Thread
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +17,7 @@ from linksift.plans import training as T
 from linksift.plans.scoring import score_links
 from linksift.sources.links import balanced_links
 from linksift.sources import schemas, tables
+from linksift.sources.publish import publish
 
 SMALL = L.Settings(
     max_iter=200, trees=10, tree_depth=6, rounds=5, boost_depth=3,
@@ -182,3 +186,31 @@ def test_retest_and_scoring(spark, run):
         sure = r["probability"] if r["prediction"] == "PHISHING" else 1 - r["probability"]
         assert r["confidence"] == pytest.approx(sure) and r["confidence"] >= 0.5
         assert r["confidence_percent"] == int(r["confidence"] * 100)
+
+
+def test_a_load_during_a_save_gets_the_old_model_or_the_new_one(spark, run, tmp_path):
+    root, seen, done = str(tmp_path / "model"), set(), Event()
+
+    def kind(model):
+        return type(model.stages[-1]).__name__
+
+    def load():
+        while not done.is_set():
+            seen.add(kind(T.load_model(root)))
+
+    publish(spark, root, lambda folder: run.scorer(L.LOGREG).write().save(folder))
+    reader = Thread(target=load)
+    reader.start()
+    try:
+        for turn in range(4):
+            name = (L.FOREST, L.LOGREG)[turn % 2]
+            publish(spark, root, lambda folder, name=name: run.scorer(name).write().save(folder))
+    finally:
+        done.set()
+        reader.join()
+    assert seen <= {"TreeModel", "LinearModel"} and seen
+    assert kind(T.load_model(root)) == "LinearModel"
+    assert len([p for p in Path(root).iterdir() if p.name.startswith("version-")]) == 2
+    with pytest.raises(ZeroDivisionError):  # a save that fails leaves the current model
+        publish(spark, root, lambda folder: 1 / 0)
+    assert kind(T.load_model(root)) == "LinearModel"

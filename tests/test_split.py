@@ -39,6 +39,29 @@ def test_split_is_exact(spark, sorted_rows):
     assert picked == {i for k, v in groups.items() for i in v[: sizes[k]]}
 
 
+@pytest.mark.parametrize("sorted_rows", [1, 100_000])
+def test_a_table_of_cuts_gives_the_same_rows(spark, monkeypatch, sorted_rows):
+    df = table(spark, 2003).withColumn("label", F.col("id") % 23 % 9)
+    few = S.stratified_split(df, sorted_rows=sorted_rows).orderBy("id").collect()
+    monkeypatch.setattr(S, "FEW_CLASSES", 3)
+    assert S.stratified_split(df, sorted_rows=sorted_rows).orderBy("id").collect() == few
+    monkeypatch.setattr(S, "BROADCAST_CLASSES", 0)
+    assert S.stratified_split(df, sorted_rows=sorted_rows).orderBy("id").collect() == few
+    with pytest.raises(ValueError, match="1 rows have no label"):
+        S.stratified_split(df.withColumn("label", F.when(F.col("id") > 0, F.col("label"))))
+
+
+def test_split_of_thousands_of_classes(spark):
+    df = spark.range(0, 20_000, numPartitions=6).withColumn("label", F.col("id") % 3001)
+    got = S.stratified_split(df).collect()
+    sizes = S.held_out_sizes(Counter(i % 3001 for i in range(20_000)), 0.2)
+    picked = {r["id"] for r in got if r["is_test"]}
+    want = set()
+    for k, n in sizes.items():
+        want |= set(sorted(range(k, 20_000, 3001), key=lambda i: digest(42, i))[:n])
+    assert len(got) == 20_000 and picked == want
+
+
 def test_sizes_of_the_parts():
     assert S.held_out_sizes({0: 5000, 1: 5000}, 0.2) == {0: 1000, 1: 1000}
     assert S.held_out_sizes({0: 7, 1: 4}, 0.2) == {0: 2, 1: 1}
