@@ -50,3 +50,37 @@ def running_within(
     summed = sliced.withColumn("_within", F.coalesce(F.sum("_weight").over(within), F.lit(0)))
     found = summed.join(starts, [*same, F.col("_slice") == F.col("_at")], "left")
     return found.select(*df.columns, (F.col("_within") + F.coalesce("_start", F.lit(0))).cast("long").alias(name))
+
+
+#: Words of 64 bits in a filter of keys: eight keys a word, within these bounds.
+FILTER_WORDS = (1 << 10, 1 << 20)
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """(word, bits, words): a bitmap of the hashes of settled keys, at most ``FILTER_WORDS`` rows."""
+    least, most = FILTER_WORDS
+    words = min(most, max(least, 1 << (keys.count() // 8).bit_length()))
+    word, bit = _filter_place(key, words)
+    marked = keys.select(word.alias("word"), bit.alias("bit"))
+    held = marked.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    return settle(held.withColumn("words", F.lit(words)), "filter")
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Add ``_maybe``: false only for rows whose key is not in a ``key_filter``.
+
+    Rows that cannot find a partner need not be shuffled to learn that; the others are joined exactly.
+    """
+    told = keys.select("words").first()
+    if told is None:
+        return df.withColumn("_maybe", F.lit(False))
+    word, bit = _filter_place(key, told["words"])
+    placed = df.withColumns({"_word": word, "_bit": bit})
+    met = placed.join(F.broadcast(keys.select(F.col("word").alias("_word"), "bits")), "_word", "left")
+    held = F.expr("(shiftright(bits, _bit) & 1) = 1")
+    return met.withColumn("_maybe", F.coalesce(held, F.lit(False))).drop("_word", "_bit", "bits")
+
+
+def _filter_place(key: str, words: int) -> tuple[Column, Column]:
+    h = F.xxhash64(key)
+    return h.bitwiseAND(F.lit(words - 1)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")

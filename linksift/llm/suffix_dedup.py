@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linksift.llm.ranks import key_filter, maybe_in
 from linksift.llm.tables import settle
 
 LENGTH = 400
@@ -261,7 +262,8 @@ def _pieces(docs: DataFrame, runs: DataFrame) -> DataFrame:
             if rows:
                 yield _batches(rows, PIECE)
 
-    keyed = docs.where(F.octet_length("text") >= LENGTH).select(text_key().alias("text_key"), "doc_id", "text")
+    keyed = docs.where(F.octet_length("text") >= LENGTH).select(text_key().alias("text_key"), "text")
+    keyed = maybe_in(keyed, "text_key", key_filter(by_text, "text_key")).where("_maybe").drop("_maybe")
     met = keyed.join(_small(by_text, F.size("runs")), "text_key")
     one = met.select("text_key", "text", "runs").dropDuplicates(["text_key"])
     return one.select("text", "runs").mapInArrow(cut, _ddl(PIECE))
@@ -292,8 +294,9 @@ def _by_hashes(pieces: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(text_key, spans): the stretches of bytes to remove from each text, which may overlap."""
     runs = settle(text_runs(docs), "runs")
-    often = runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    runs = settle(runs.join(often, "anchor"), "met-runs")
+    often = settle(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "often")
+    met = maybe_in(runs, "anchor", key_filter(often, "anchor")).where("_maybe").drop("_maybe")
+    runs = settle(met.join(often, "anchor"), "met-runs")
     place = F.struct("text_key", "start", "count", "ahead")
     kinds = settle(runs.groupBy("anchor", "run").agg((F.count("*") > 1).alias("again"), F.min(place).alias("place")), "kinds")
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -318,9 +321,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
     """row (the carried ``columns``), n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256 of every document."""
     spans = settle(repeated_spans(docs), "spans")
-    spans = _small(spans, F.size("spans"))
     source = docs.select("text", F.struct(*columns).alias("row"), text_key().alias("_key"))
-    joined = source.join(spans.withColumnRenamed("text_key", "_of"), F.col("_key") == F.col("_of"), "left").drop("_key", "_of")
+    # Texts that lose nothing stay where they are read.
+    told = maybe_in(source, "_key", key_filter(spans, "text_key"))
+    of = _small(spans, F.size("spans")).withColumnRenamed("text_key", "_of")
+    met = told.where("_maybe").join(of, F.col("_key") == F.col("_of"), "left").select("text", "row", "spans")
+    whole = told.where("not _maybe").select("text", "row", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    joined = met.union(whole)
     schema = f"row {source.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long"
     added = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]
 
