@@ -41,7 +41,7 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 BUCKET_RUNS = 2_000
 BLOCK_BYTES = 1 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 PLACE_BITS = 21
 #: A side of a join is broadcast only up to so many rows or list entries.
 BROADCAST_ROWS = 100_000
@@ -125,7 +125,7 @@ def text_runs(docs: DataFrame) -> DataFrame:
                     span = xxhash.xxh3_128(data[start : start + count - 1 + LENGTH])
                     span.update(b"%d %d" % (count, place - start))
                     rows.append((key, start, count, place - start, mark - (1 << 63), span.digest()))
-                if len(rows) > 20_000:
+                if len(rows) > 5_000:
                     yield _batches(rows, RUN)
                     rows = []
         if rows:
@@ -279,7 +279,7 @@ def _by_hashes(pieces: DataFrame) -> DataFrame:
             for anchor, run, count, ahead, data in zip(*(batch.column(f.name).to_pylist() for f in PIECE)):
                 for at in range(count):
                     rows.append((anchor, run, at, at, ahead - at, xxhash.xxh3_128_digest(data[at : at + LENGTH])))
-                if len(rows) > 20_000:
+                if len(rows) > 5_000:
                     yield _batches(rows, schema)
                     rows = []
             if rows:
