@@ -119,5 +119,5 @@ def many_classes(spark: SparkSession, sf: str) -> DataFrame:
     """(id, label): five or six rows in each of two classes per order line, so 120,000 classes at 0.01."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    each = lines.select(line.alias("line"), F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
+    each = lines.select(line.alias("line")).distinct().select("line", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
     return each.select((F.col("line") * 16 + F.col("k")).alias("id"), (F.col("line") * 2 + F.col("k") % 2).alias("label"))

@@ -264,8 +264,8 @@ _SPLIT = _split(_links())
 _NOISY = f"""(SELECT id, url, CASE WHEN wrong THEN 1 - label ELSE label END AS label, wrong
   FROM (SELECT *, ('0x' || substr(md5('11:noise:' || id), 1, 8))::BIGINT % 10 = 0 AS wrong
     FROM {_links()}))"""
-_MANY = """(SELECT (l_orderkey * 8 + l_linenumber) * 16 + k AS id, (l_orderkey * 8 + l_linenumber) * 2 + k % 2 AS label
-  FROM lineitem, range(0, 11) AS s(k))"""
+_MANY = """(SELECT line * 16 + k AS id, line * 2 + k % 2 AS label
+  FROM (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS line FROM lineitem), range(0, 11) AS s(k))"""
 _WIDE = "(SELECT vec_id AS id, (label < 5)::INT AS label FROM embeddings)"
 
 

@@ -128,7 +128,8 @@ def test_cross_validation(spark, run):
     got = {r["model"]: r for r in E.cv_summary(folds, None).collect()}
     for name in L.MODEL_ORDER:
         values = [r["accuracy"] for r in rows if r["model"] == name]
-        assert got[name]["cv_mean"] == pytest.approx(np.mean(values)) > 0.9 and min(values) > 0.8
+        assert got[name]["cv_mean"] == pytest.approx(np.mean(values))
+        assert np.mean(values) > 0.9 and min(values) > 0.8
         assert got[name]["cv_std"] == pytest.approx(np.std(values))
         assert sum(r["n"] for r in rows if r["model"] == name) == 480
 
@@ -180,7 +181,9 @@ def test_retest_and_scoring(spark, run):
         "   ",
     ]
     df = spark.createDataFrame(list(enumerate(urls)), "id long, url string")
-    rows = score_links(df, run.scorer(L.FOREST)).orderBy("id").collect()
+    # A vote of ten trees is too coarse for links unlike those of the fit; this is the stated forest.
+    forest = L.fit(L.FOREST, run.train, L.Settings(models=[L.FOREST]))
+    rows = score_links(df, T.whole_model(run.preparation, forest)).orderBy("id").collect()
     assert [r["prediction"] for r in rows] == ["SAFE", "PHISHING", "SAFE", "PHISHING", "PHISHING"]
     for r in rows:
         sure = r["probability"] if r["prediction"] == "PHISHING" else 1 - r["probability"]
