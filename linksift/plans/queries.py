@@ -24,7 +24,7 @@ from linksift.plans.scoring import reject_reason, score_links, score_rejects
 from linksift.session import numbered, scratch_path, settled
 from linksift.sources import links as G
 from linksift.sources import records, schemas, tables
-from linksift.streaming.feed import GOOD, REJECTED, link_stream, read_split, run_feed, run_split_feed
+from linksift.streaming.feed import GOOD, REJECTED, read_split, run_feed, run_split_feed, table_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -488,7 +488,7 @@ PAGE_ROWS = T.StructType(
 
 def _feed(spark, sf, job):
     out, state = scratch_path(spark, "feed"), scratch_path(spark, "feed-state")
-    stream = link_stream(spark, sf, PAGE_ROWS, "pages.parquet")
+    stream = table_stream(spark, f"{sf.rstrip('/')}/pages.parquet", PAGE_ROWS)
     run = run_feed(stream, job, out, state)
     run.awaitTermination()
     return spark.read.schema(job(spark.createDataFrame([], PAGE_ROWS)).schema).parquet(out)
@@ -657,7 +657,7 @@ def stream_scores_and_rejects(spark, sf):
     """Both results of one run over a feed in which every fourth link is blank or missing."""
     model, out, state = _scorer(spark, sf), scratch_path(spark, "split-feed"), scratch_path(spark, "split-state")
     gap = F.when(F.col("page_id") % 4 == 0, F.when(F.col("page_id") % 8 == 0, " ")).otherwise(F.col("url"))
-    stream = link_stream(spark, sf, PAGE_ROWS, "pages.parquet").withColumn("url", gap)
+    stream = table_stream(spark, f"{sf.rstrip('/')}/pages.parquet", PAGE_ROWS).withColumn("url", gap)
     judge = lambda df: score_links(df, model)
     run_split_feed(stream, judge, lambda df: reject_reason(), out, state).awaitTermination()
     scored = read_split(spark, out, GOOD, judge(spark.createDataFrame([], PAGE_ROWS)).schema)

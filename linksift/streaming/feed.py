@@ -24,6 +24,15 @@ def link_stream(
     return reader.parquet(path)
 
 
+def table_stream(spark: SparkSession, table: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """A table as a stream of its rows, whether it is one file or a folder of part files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    if status.isDirectory():
+        return link_stream(spark, table, schema, "*", files_per_trigger)
+    return link_stream(spark, path.getParent().toString(), schema, path.getName(), files_per_trigger)
+
+
 def run_feed(
     stream: DataFrame,
     job: Callable[[DataFrame], DataFrame],
@@ -79,7 +88,10 @@ def run_split_feed(
 
 
 def read_split(spark: SparkSession, out: str, kind: str, columns: T.StructType) -> DataFrame:
-    """The rows of one result of ``run_split_feed``, with the batch that each came in."""
+    """The rows of one result of ``run_split_feed``, with the batch that each came in; none if no batch has run."""
     partitions = [T.StructField("kind", T.StringType()), T.StructField("batch", T.LongType())]
-    rows = spark.read.schema(T.StructType([*columns.fields, *partitions])).parquet(out)
+    schema = T.StructType([*columns.fields, *partitions])
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    written = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    rows = spark.read.schema(schema).parquet(out) if written else spark.createDataFrame([], schema)
     return rows.where(F.col("kind") == kind).drop("kind")

@@ -52,3 +52,22 @@ def test_two_results_of_one_run_and_of_a_restart_in_mid_batch(spark, data, tmp_p
     assert sorted(good.collect()) == sorted(job(pages.where("url is not null")).collect())
     assert sorted((r["page_id"], r["reason"]) for r in bad.collect()) == sorted((r["page_id"], "no url") for r in pages.where("url is null").collect())
     assert {r["batch"] for r in bad.collect()} == {0, 1, 2, 3}
+
+
+def test_a_table_of_part_files_is_read_like_one_file(spark, data, tmp_path):
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    why = lambda df: F.when(F.col("page_id") % 4 == 0, "fourth")
+    for name, table in (("file", f"{data}/pages.parquet"), ("folder", str(tmp_path / "pages.parquet"))):
+        out, state = str(tmp_path / f"out-{name}"), str(tmp_path / f"state-{name}")
+        feed.run_split_feed(feed.table_stream(spark, table, ROWS), job, why, out, state).awaitTermination()
+        good = feed.read_split(spark, out, feed.GOOD, job(pages).schema)
+        bad = feed.read_split(spark, out, feed.REJECTED, ROWS)
+        assert good.count() + bad.count() == pages.count() and bad.count() == pages.where("page_id % 4 = 0").count()
+
+
+def test_a_feed_without_a_batch_has_no_rows(spark, tmp_path):
+    (tmp_path / "inbox").mkdir()
+    out = str(tmp_path / "out")
+    feed.run_split_feed(link_stream(spark, str(tmp_path / "inbox"), ROWS), job, lambda df: F.lit(None), out, str(tmp_path / "state")).awaitTermination()
+    assert feed.read_split(spark, out, feed.GOOD, ROWS).count() == 0
