@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linksift.functions.draws import row_hash
-from linksift.session import settled
+from linksift.session import scratch_path, settled
 
 PREFIX_STEP = 3
 HASH_DIGITS = 32
@@ -123,9 +123,20 @@ def held_out_sizes(sizes: Counts, fraction: float) -> Counts:
     return taken
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A long narrow table written once as Parquet, which takes less disk than a checkpoint."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _near(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
+
+
 def in_order(table: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Number the rows of a table 0, 1, 2, ... in an order, range by range."""
-    placed = settled(table.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = _written(table.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part, rest = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,16 +145,30 @@ def in_order(table: DataFrame, order: list[Column], out: str) -> DataFrame:
     return numbered.withColumn(out, F.col("_start") + rest).drop("_at", "_part", "_start")
 
 
-def held_out_table(sizes: DataFrame, fraction: float) -> DataFrame:
-    """(label, rank): as ``held_out_sizes``, for any number of classes; classes without test rows are left out."""
+def held_out_ranks(sizes: DataFrame, fraction: float) -> Callable[[Column, Column], Column]:
+    """As ``held_out_sizes`` for any number of classes: the test rows of a class from its size and label.
+
+    A share depends on the size only, so how many classes have each size tells which fractions are
+    rounded up; only the classes of the last such fraction are ordered by label.
+    """
     total = sizes.agg(F.sum("n")).first()[0] or 0
     n_test = -int(-(fraction * total) // 1)
-    share = F.lit(n_test) * F.col("n") / F.lit(float(total))
-    shares = settled(sizes.withColumn("whole", F.floor(share)).withColumn("rest", share - F.col("whole")))
-    more = n_test - (shares.agg(F.sum("whole")).first()[0] or 0)
-    ordered = in_order(shares, [F.desc("rest"), F.asc("label")], "place")
-    rank = F.col("whole") + F.when(F.col("place") < more, 1).otherwise(0)
-    return settled(ordered.select("label", rank.alias("rank")).where("rank > 0"))
+    share = lambda n: F.lit(n_test) * n / F.lit(float(total or 1))
+    rest = lambda n: share(n) - F.floor(share(n))
+    kinds = sizes.groupBy("n").agg(F.count("*").alias("k"))  # different sizes: at most sqrt(2 * rows)
+    kinds = settled(kinds.select("k", F.floor(share(F.col("n"))).alias("whole"), rest(F.col("n")).alias("rest")))
+    more = n_test - (kinds.agg(F.sum(F.col("whole") * F.col("k"))).first()[0] or 0)
+    if more <= 0:
+        return lambda n, label: F.floor(share(n))
+    upto = Window.orderBy(F.desc("rest")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = kinds.groupBy("rest").agg(F.sum("k").alias("k")).withColumn("upto", F.sum("k").over(upto))
+    last = steps.where(F.col("upto") >= more).orderBy("upto").first()
+    edge, left = last["rest"], more - (last["upto"] - last["k"])
+    if left == last["k"]:
+        return lambda n, label: F.floor(share(n)) + F.when(rest(n) >= edge, 1).otherwise(0)
+    tied = in_order(sizes.where(rest(F.col("n")) == edge).select("label"), [F.asc("label")], "place")
+    final = F.lit(tied.where(F.col("place") == left - 1).first()["label"])
+    return lambda n, label: F.floor(share(n)) + F.when((rest(n) > edge) | ((rest(n) == edge) & (label <= final)), 1).otherwise(0)
 
 
 def class_cuts(
@@ -158,7 +183,7 @@ def class_cuts(
     digits, largest = 0, None
     while largest is None or (largest > sorted_rows and digits < HASH_DIGITS):
         above, digits = digits, min(HASH_DIGITS, digits + PREFIX_STEP)
-        open_prefixes = state.select("label", F.col("prefix").alias("up")).distinct()
+        open_prefixes = _near(state.select("label", F.col("prefix").alias("up")).distinct())
         rows = keyed.select("label", F.substring("key", 1, above).alias("up"), F.substring("key", 1, digits).alias("long"))
         counts = rows.join(open_prefixes, ["label", "up"], "left_semi").groupBy("label", "up", "long").agg(F.count("*").alias("n"))
         ahead = Window.partitionBy("label", "up").orderBy("long").rowsBetween(Window.unboundedPreceding, -1)
@@ -170,7 +195,7 @@ def class_cuts(
         state = placed.drop("n")
     if digits == HASH_DIGITS:  # rows of one id: the whole hash is the cut
         return state.select("label", "rank", F.col("prefix").alias("cut"))
-    rows = keyed.withColumn("prefix", F.substring("key", 1, digits)).join(state.select("label", "prefix").distinct(), ["label", "prefix"], "left_semi")
+    rows = keyed.withColumn("prefix", F.substring("key", 1, digits)).join(_near(state.select("label", "prefix").distinct()), ["label", "prefix"], "left_semi")
     number = F.row_number().over(Window.partitionBy("label", "prefix").orderBy("key"))
     hits = rows.withColumn("inside", number.cast("long"))
     return settled(state.join(hits, ["label", "prefix", "inside"]).select("label", "rank", F.col("key").alias("cut")))
@@ -187,12 +212,12 @@ def stratified_split(
 ) -> DataFrame:
     """Flag exactly the wanted number of rows of each class as test rows.
 
-    Up to ``FEW_CLASSES`` classes the cuts are literals; beyond that a table joined on the class. Both
-    give the same rows.
+    Up to ``FEW_CLASSES`` classes the cuts are literals. Beyond that rows are ranked within their class
+    in one shuffle, and only classes of more than ``sorted_rows`` rows get a table of cuts. Both give
+    the same rows.
     """
-    few = df.select(label).distinct().limit(FEW_CLASSES + 1).count() <= FEW_CLASSES
-    keyed = df.withColumn("_key", row_hash(seed, F.col(id_col)))
-    if few:
+    sizes = _written(df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")), "sizes")
+    if sizes.limit(FEW_CLASSES + 1).count() <= FEW_CLASSES:
         want: Counts = {}
 
         def ranks(sizes: Counts) -> Ranks:
@@ -201,16 +226,28 @@ def stratified_split(
 
         _, cuts = hash_cutoffs(df, id_col, label, seed, ranks, sorted_rows)
         flag = _upto(label, {k: cut for (k, _), cut in cuts.items()})
-        return keyed.withColumn(out, flag).drop("_key")
-    sizes = settled(df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")))
+        return df.withColumn("_key", row_hash(seed, F.col(id_col))).withColumn(out, flag).drop("_key")
     if missing := sizes.where("label is null").agg(F.sum("n")).first()[0]:
         raise ValueError(f"{missing} rows have no {label}")
-    cuts = class_cuts(df, id_col, label, seed, held_out_table(sizes, fraction), sorted_rows)
-    cuts = cuts.select(F.col("label").alias("_label"), "cut")
-    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_CLASSES else cuts
-    # A class without test rows has no cut.
-    joined = keyed.join(cuts, F.col(label) == F.col("_label"), "left")
-    return joined.withColumn(out, F.coalesce(F.col("_key") <= F.col("cut"), F.lit(False))).drop("_key", "_label", "cut")
+    rank = held_out_ranks(sizes, fraction)
+    # Classes that one task sorts are ranked where their rows meet; their sizes are told there too.
+    large = settled(sizes.where(F.col("n") > sorted_rows))
+    rows, parts = df, []
+    if not large.isEmpty():
+        wanted = large.select("label", rank(F.col("n"), F.col("label")).alias("rank")).where("rank > 0")
+        cuts = class_cuts(df, id_col, label, seed, settled(wanted), sorted_rows)
+        # At most rows / sorted_rows classes; one without test rows has no cut.
+        cuts = large.select("label").join(cuts, "label", "left").select(F.col("label").alias("_label"), "cut", F.lit(True).alias("_large"))
+        joined = df.join(_near(cuts), F.col(label) == F.col("_label"), "left")
+        flagged = joined.where("_large").withColumn(out, F.coalesce(row_hash(seed, F.col(id_col)) <= F.col("cut"), F.lit(False)))
+        parts.append(flagged.select(*df.columns, out))
+        rows = joined.where("_large is null").select(*df.columns)
+    same = Window.partitionBy(label)
+    # Rows of one id have one rank, so they are on one side.
+    keyed = rows.repartition(label).withColumn("_key", F.unhex(row_hash(seed, F.col(id_col))))  # made where it is sorted
+    placed = keyed.withColumns({"_n": F.count("*").over(same), "_rank": F.rank().over(same.orderBy("_key"))})
+    parts.append(placed.withColumn(out, F.col("_rank") <= rank(F.col("_n"), F.col(label))).select(*df.columns, out))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_sizes(sizes: Counts, k: int) -> dict[object, list[int]]:

@@ -106,3 +106,25 @@ def test_repeated_ids_share_their_part(spark, sorted_rows):
 def test_assignment_needs_no_shuffle(spark, capsys):
     S.stratified_split(table(spark)).explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_many_classes_are_ranked_in_one_shuffle(spark, capsys):
+    """Neither a join with a table of cuts nor a key in the shuffle, and no row for each class."""
+    df = spark.range(0, 5_000).withColumn("label", F.col("id") % 701)
+    S.stratified_split(df).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("sorted_rows", [6, 100_000])
+def test_classes_of_many_sizes_and_tied_shares(spark, sorted_rows):
+    sizes = {f"k{i:03d}": 1 + i % 13 for i in range(150)}
+    rows = [(f"{k}/{i}", k) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, label string").repartition(5)
+    for fraction in (0.2, 0.5, 0.07):
+        got = {r["id"] for r in S.stratified_split(df, fraction=fraction, sorted_rows=sorted_rows).where("is_test").collect()}
+        wanted = S.held_out_sizes(sizes, fraction)
+        want = set()
+        for k, n in sizes.items():
+            want |= set(sorted((f"{k}/{i}" for i in range(n)), key=lambda i: digest(42, i))[: wanted[k]])
+        assert got == want
