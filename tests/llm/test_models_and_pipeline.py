@@ -170,6 +170,25 @@ def test_toxicity_fits_on_as_many_texts_as_labels(spark):
     assert seen[0] == seen[1] == seen[2]
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """More labels than one part takes: all are read, and the model is the same for any order."""
+    texts = [f"{'some vile' if i % 3 else 'a kind'} word{i % 7} here in text {i}" for i in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(700)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    fitted, read = toxicity._fitted, []
+
+    def seen(over, parts, shared):
+        read.append((int(over(toxicity._sizes)[0][0]), parts))
+        return fitted(over, parts, shared)
+
+    monkeypatch.setattr(toxicity, "_fitted", seen)
+    models = [toxicity.fit_model(d, labels) for d in (docs.repartition(3), docs.orderBy(-docs.doc_id))]
+    assert read == [(700, 7)] * 2 and models[0] == models[1]
+    scores = {r.row.doc_id: r.score for r in toxicity.score_documents(docs, models[0], ["doc_id"]).collect()}
+    assert all((scores[i] >= toxicity.CUT) == (i % 3 > 0) for i in scores)
+
+
 def plain_score(model, text):
     """One word, filter and place after another, then the cut-off of the text's language."""
     rows = toxicity.Words()(text).tolist() or [[2 * toxicity.BUCKETS] * 2]
