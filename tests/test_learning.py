@@ -217,3 +217,17 @@ def test_a_load_during_a_save_gets_the_old_model_or_the_new_one(spark, run, tmp_
     with pytest.raises(ZeroDivisionError):  # a save that fails leaves the current model
         publish(spark, root, lambda folder: 1 / 0)
     assert kind(T.load_model(root)) == "LinearModel"
+
+
+def test_a_pass_sends_the_driver_one_result(spark, monkeypatch):
+    """And a cut table has as few pieces as its rows need, however many the whole one has."""
+    rows = spark.sparkContext.parallelize(range(60), 40).map(lambda i: np.array([i]))
+    assert M.added(rows, lambda x: [x, 2 * x])[1][0] == 2 * sum(range(60))
+    received, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: received.append(collect(self)) or received[-1])
+    for parts in (1, 16, 40):
+        M.added(rows.coalesce(parts), lambda x: [x])
+    assert [len(told) for told in received] == [1, 1, 1]
+    df = spark.range(0, 9_000, numPartitions=64).withColumn("label", F.col("id") % 2)
+    few, n = T.fit_rows(df, 9_000, L.Settings(fit_rows=4_000))
+    assert n == 4_000 == few.count() and few.rdd.getNumPartitions() == 2
