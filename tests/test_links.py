@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linksift.functions import vocabulary as V
+from linksift.plans import inputs as I
 from linksift.sources import links as G
 
 N = 20000
@@ -66,3 +67,12 @@ def test_phishing_patterns(spark):
             octets = list(map(int, re.findall(r"\d+", url)[:4]))
             assert all(0 <= o <= 255 for o in octets) and octets[0] >= 1 and octets[3] >= 1
     assert all(850 < n < 1150 for n in seen.values()), seen
+
+
+def test_many_keys_are_built_in_many_tasks(spark, data, monkeypatch):
+    """A small file of many keys is one split, but each key takes two links to build."""
+    plain = I.keys(spark, data)
+    monkeypatch.setattr(I, "KEY_ROWS", 100)
+    dealt = I.keys(spark, data)
+    assert dealt.rdd.getNumPartitions() == -(-plain.count() // 100) > plain.rdd.getNumPartitions()
+    assert sorted(dealt.collect()) == sorted(plain.collect())
