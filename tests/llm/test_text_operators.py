@@ -179,6 +179,23 @@ def test_short_lines_go_too(spark):
     assert got == {1: rows[0][1], 2: "\nlog in", 3: " \nother"}
 
 
+def test_words_are_sent_only_to_pairs_that_may_be_similar(spark):
+    """All similar pairs and few others are left to be compared word by word; places may hold two sets."""
+    rng = random.Random(8)
+    sets = [rng.sample(range(4_000), rng.randint(1, 120)) for _ in range(60)]
+    sets += [sorted({*rng.sample(s, len(s) * 9 // 10), *rng.sample(range(4_000), len(s) // 12)}) for s in sets]
+    rows = [(i if i < 118 else 118, i % 2 if i < 118 else 0, [f"w{x}" for x in s]) for i, s in enumerate(sets)]
+    every = [(*x[:2], *y[:2]) for x in rows for y in rows if x[0] > y[0]]
+    found = line_dedup._near(
+        spark.createDataFrame(every, "doc_x long, no_x long, doc_y long, no_y long"),
+        spark.createDataFrame(rows, "doc long, no long, words array<string>"),
+    )
+    got = [tuple(r) for r in found.collect()]
+    similar = {(*x[:2], *y[:2]) for x in rows for y in rows if x[0] > y[0] and 5 * len({*x[2]} & {*y[2]}) >= 4 * len({*x[2]} | {*y[2]})}
+    assert len(got) == len(set(got)) and similar <= set(got) <= set(every)
+    assert len(similar) > 30 and len(got) < 2 * len(similar)
+
+
 def test_repeated_spans(docs, pairs):
     want = brute.repeated_spans(pairs)
     got = suffix_dedup.without_repeats(docs, ["doc_id"]).collect()
