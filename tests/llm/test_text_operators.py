@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +212,29 @@ def test_repeated_spans_in_large_buckets(docs, pairs, monkeypatch):
     assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeated_spans(pairs)
 
 
+def test_repeated_spans_in_small_slices(docs, pairs, monkeypatch):
+    """Workers take and give few rows at a time, on either way of counting strings."""
+    monkeypatch.setattr(suffix_dedup, "SLICE_ROWS", 3)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 2_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_RUNS", 3)
+    got = suffix_dedup.without_repeats(docs, ["doc_id"]).collect()
+    assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeated_spans(pairs)
+
+
+def test_names_of_prefixes_take_little_memory():
+    text = np.random.default_rng(9).integers(0, 2, 60_000).astype(np.uint8)
+    text[20_000:40_000] = text[:20_000]
+    places = np.arange(len(text) - suffix_dedup.PERIOD)
+    tracemalloc.start()
+    names = suffix_dedup.prefix_names(text, places)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    prefixes = [text[p : p + suffix_dedup.PERIOD].tobytes() for p in places]
+    rank = {x: n for n, x in enumerate(sorted(set(prefixes)))}
+    assert names.tolist() == [rank[x] for x in prefixes]
+    assert peak < 100 * len(places)
+
+
 def test_repeated_spans_of_odd_rows(odd_docs, odd_rows):
     got = suffix_dedup.without_repeats(odd_docs, ["doc_id", "size"]).collect()
     plain = brute.repeated_spans([(i, r[1]) for i, r in enumerate(odd_rows)])
