@@ -30,8 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Settings of the model queries: those of a full run, whose fits read all labelled rows.
-RUN, SCORER = L.URL_RUN, L.APP_RUN
-PAGES = replace(L.PAGE_RUN, fit_rows=20_000)
+RUN, PAGES, SCORER = L.URL_RUN, L.PAGE_RUN, L.APP_RUN
 # What a model must reach on labels of which a tenth is wrong, to count as trained.
 ACCURACY_FLOOR, AUC_FLOOR = 0.85, 0.8
 
